@@ -96,7 +96,8 @@ def _jamo(code: Column) -> Column:
 def _expand(char: Column) -> Column:
     """One character that decomposes into several."""
     _, _, several = _decompositions()
-    table = F.create_map(*[F.lit(x) for pair in several.items() for x in pair])
+    entries = "\x02".join(f"{c}\x01{text}" for c, text in several.items())
+    table = F.str_to_map(F.lit(entries), F.lit("\x02"), F.lit("\x01"))
     index = F.ascii(char) - 0xAC00
     tail = index % 28
     hangul = F.concat(
@@ -144,3 +145,12 @@ def next_ngrams(shorter: Column, tokens: Column, n: int) -> Column:
     left = F.slice(shorter, F.lit(1), F.greatest(F.size(shorter) - 1, F.lit(0)))
     right = F.slice(tokens, F.lit(n), F.greatest(F.size(tokens) - (n - 1), F.lit(0)))
     return F.zip_with(left, right, lambda a, b: F.concat(a, F.lit(" "), b))
+
+
+def filled(array: Column) -> Column:
+    """The array, NULL when empty: exploded, it yields the same rows.
+
+    Exploding a plain computed column makes the optimiser add a size filter below it,
+    which evaluates the whole text expression a second time.
+    """
+    return F.when(F.size(array) > 0, array)

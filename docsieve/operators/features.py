@@ -8,9 +8,10 @@ from dataclasses import dataclass
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docsieve.functions.text import filled
 from docsieve.operators.ranking import ordered_index
 from docsieve.session import materialize
 
@@ -18,24 +19,31 @@ from docsieve.session import materialize
 VECTOR_TERMS = 5_000_000
 
 
-def term_counts(df: DataFrame, keys: Sequence[str], terms: str = "terms", binary: bool = False) -> DataFrame:
+def term_counts(
+    df: DataFrame, keys: Sequence[str], terms: str = "terms", binary: bool = False, keep_empty: bool = False
+) -> DataFrame:
     """(keys, term, tf), counted inside each row: sort the array, measure the runs.
 
-    No shuffle is needed because a record is one row.
+    No shuffle is needed because a record is one row. ``keep_empty`` keeps a record
+    without terms as one row of NULLs.
     """
-    ordered = df.filter(F.size(terms) > 0).select(*keys, F.sort_array(terms).alias("_s"))
-    runs = ordered.withColumn(
+    runs = df.select(*keys, F.sort_array(terms).alias("_s")).withColumn(
         "_i",
         F.filter(
-            F.sequence(F.lit(0), F.size("_s") - 1),
+            F.sequence(F.lit(0), F.greatest(F.size("_s") - 1, F.lit(0))),
             lambda i: (i == 0) | (F.get("_s", i) != F.get("_s", i - 1)),
         ),
     )
-    ends = F.concat(F.slice("_i", F.lit(2), F.size("_i") - 1), F.array(F.size("_s")))
-    lengths = F.zip_with("_i", ends, lambda a, b: (b - a).cast("long"))
-    counted = runs.select(*keys, F.transform("_i", lambda i: F.get("_s", i)).alias("_t"), lengths.alias("_n"))
-    out = counted.select(*keys, F.inline(F.arrays_zip(F.col("_t").alias("term"), F.col("_n").alias("tf"))))
-    return out.withColumn("tf", F.lit(1).cast("long")) if binary else out
+    ends = F.concat(F.slice("_i", F.lit(2), F.size("_i")), F.array(F.size("_s")))
+    pairs = F.arrays_zip(
+        F.transform("_i", lambda i: F.get("_s", i)).alias("term"),
+        F.zip_with("_i", ends, lambda a, b: (b - a).cast("long")).alias("tf"),
+    )
+    # An empty document has no runs; NULL yields no rows. (A filter would be pushed below
+    # the projection and evaluate the terms twice.)
+    emit = F.inline_outer if keep_empty else F.inline
+    out = runs.select(*keys, emit(F.when(F.size("_s") > 0, pairs)))
+    return out.withColumn("tf", F.when(F.col("term").isNotNull(), F.lit(1).cast("long"))) if binary else out
 
 
 def document_frequency(df: DataFrame, terms: str = "terms") -> DataFrame:
@@ -150,8 +158,6 @@ def max_abs_scale(values: DataFrame) -> DataFrame:
 
 def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
     """(label, n, weight) with weight n_all / (n_classes * n)."""
-    from pyspark.sql import Window
-
     counts = df.groupBy(label).agg(F.count("*").alias("n"))
     everything = Window.partitionBy()  # one row per class
     weight = F.sum("n").over(everything) / (F.count("*").over(everything) * F.col("n"))
@@ -188,7 +194,7 @@ def vector_rows(df: DataFrame, keys: Sequence[str], vector: str = "features") ->
     """Long form (keys, idx, value) of a sparse vector column."""
     parts = F.unwrap_udt(F.col(vector))
     pairs = F.arrays_zip(parts["indices"].alias("idx"), parts["values"].alias("value"))
-    return df.select(*keys, F.inline(pairs)).withColumn("idx", F.col("idx").cast("long"))
+    return df.select(*keys, F.inline(filled(pairs))).withColumn("idx", F.col("idx").cast("long"))
 
 
 def fit_features(

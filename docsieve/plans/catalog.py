@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from docsieve.plans import curation, text
+from docsieve.plans import curation, model, sampling, text
 
-FLAGSHIP = "training_documents"
-QUERIES = {**curation.QUERIES, **text.QUERIES}
-SQL = {**curation.SQL, **text.SQL}
+FLAGSHIP = "prediction_tags"
+QUERIES = {**curation.QUERIES, **text.QUERIES, **sampling.QUERIES, **model.QUERIES}
+SQL = {**curation.SQL, **text.SQL, **sampling.SQL, **model.SQL}

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from docsieve.config import Settings
 from docsieve.operators.curation import Keys, Tables
+from docsieve.session import spread
 from docsieve.sources.tables import read_table
 
 # Fixed values of this mapping.
@@ -87,7 +88,7 @@ def curation_tables(spark: SparkSession, folder: str) -> Tables:
 def labelled_documents(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, text, label) of the documents that have a quality label; label 1 is 'yes'."""
     labels = read_table(spark, folder, "labels").select("doc_id", F.col("quality").alias("label"))
-    return documents(spark, folder).select("doc_id", "text").join(labels, "doc_id")
+    return spread(documents(spark, folder).select("doc_id", "text").join(labels, "doc_id"), "doc_id")
 
 
 SQL_TABLES = f"""

@@ -11,6 +11,7 @@ from docsieve.functions.stopwords import ENGLISH
 from docsieve.operators import features as ft
 from docsieve.operators.analyzer import Analyzer
 from docsieve.plans import mapping as m
+from docsieve.session import spread
 from docsieve.sources.tables import read_table
 
 WORDS = Analyzer()
@@ -19,7 +20,7 @@ MIN_DF, MAX_DF, MAX_FEATURES = 0.01, 0.8, 5000
 
 
 def _text(spark: SparkSession, folder: str) -> DataFrame:
-    return m.documents(spark, folder).select("doc_id", "text")
+    return spread(m.documents(spark, folder).select("doc_id", "text"), "doc_id")
 
 
 def clean_text(spark: SparkSession, folder: str) -> DataFrame:
@@ -45,11 +46,11 @@ def url_stripped(spark: SparkSession, folder: str) -> DataFrame:
 
 def tokens(spark: SparkSession, folder: str) -> DataFrame:
     plain = WORDS.with_options(stop_words=None).tokens(_text(spark, folder))
-    return plain.select("doc_id", F.posexplode("tokens").alias("pos", "token"))
+    return plain.select("doc_id", F.posexplode(tx.filled(F.col("tokens"))).alias("pos", "token"))
 
 
 def stopword_filtered(spark: SparkSession, folder: str) -> DataFrame:
-    return WORDS.tokens(_text(spark, folder)).select("doc_id", F.posexplode("tokens").alias("pos", "token"))
+    return WORDS.tokens(_text(spark, folder)).select("doc_id", F.posexplode(tx.filled(F.col("tokens"))).alias("pos", "token"))
 
 
 def ngrams_1_3(spark: SparkSession, folder: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docsieve.functions.documents import class_name, confidence_text, outcome, parse_run_stamp, run_stamp
@@ -100,3 +100,9 @@ def run_lines(runs: DataFrame) -> DataFrame:
         F.when(F.col("f1").isNotNull(), two("f1")), "script",
     )
     return runs.select(line.alias("value"))
+
+
+def best_runs(runs: DataFrame, group: str, scores: list[str], tie: str) -> DataFrame:
+    """The best run of each group by the scores in turn, then by the smallest ``tie``."""
+    order = Window.partitionBy(group).orderBy(*[F.desc(s) for s in scores], tie)
+    return runs.withColumn("_r", F.row_number().over(order)).filter("_r = 1").drop("_r")

@@ -66,9 +66,8 @@ def fit_multinomial(train: DataFrame, alpha: float = 1.0, min_df: float | int =
     """Fit on rows (label, terms); the class prior is the class share."""
     n_no, n_yes = _class_sizes(train)
     table = materialize(class_term_table(train, min_df, max_df, n_no + n_yes), "nb-terms")
-    weights = materialize(multinomial_weights(table, alpha), "nb-weights")
     n = n_no + n_yes
-    return BayesModel(weights, math.log(n_no / n), math.log(n_yes / n), False)
+    return BayesModel(multinomial_weights(table, alpha), math.log(n_no / n), math.log(n_yes / n), False)
 
 
 def fit_bernoulli(train: DataFrame, alpha: float = 1.0, min_df: float | int = 1, max_df: float | int = 1.0) -> BayesModel:
@@ -82,9 +81,7 @@ def fit_bernoulli(train: DataFrame, alpha: float = 1.0, min_df: float | int = 1,
         "term", (F.log(p_no) - F.log(1 - p_no)).alias("w_no"), (F.log(p_yes) - F.log(1 - p_yes)).alias("w_yes")
     )
     n = n_no + n_yes
-    return BayesModel(
-        materialize(weights, "nb-weights"), math.log(n_no / n) + absent[0], math.log(n_yes / n) + absent[1], True
-    )
+    return BayesModel(weights, math.log(n_no / n) + absent[0], math.log(n_yes / n) + absent[1], True)
 
 
 def score(model: BayesModel, docs: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -155,9 +152,7 @@ def compare_splits(
         )
         return F.when(F.col(f"in_{flag}"), yes - no)
 
-    weights = materialize(
-        kept.select("term", *[log_odds(flag, alpha).alias(f"w_{flag}_{i}") for _, flag, i, alpha in runs]), "nb-runs"
-    )
+    weights = kept.select("term", *[log_odds(flag, alpha).alias(f"w_{flag}_{i}") for _, flag, i, alpha in runs])
     sums = (
         ft.term_counts(docs, [key, "label", *flags], keep_empty=True)
         .join(weights, "term", "left")

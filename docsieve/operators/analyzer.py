@@ -75,9 +75,11 @@ class TextTerms(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, D
     stem = Param(Params._dummy(), "stem", "none, words or last", TypeConverters.toString)
 
     @keyword_only
-    def __init__(self, *, inputCol="text", outputCol="terms", accents="unicode", lowercase=True,
-                 pattern="ascii", stopWords=list(ENGLISH), ngrams=[1, 1], stem="none"):
+    def __init__(self, *, inputCol=None, outputCol=None, accents=None, lowercase=None, pattern=None,
+                 stopWords=None, ngrams=None, stem=None):
         super().__init__()
+        self._setDefault(inputCol="text", outputCol="terms", accents="unicode", lowercase=True, pattern="ascii",
+                         stopWords=list(ENGLISH), ngrams=[1, 1], stem="none")
         self._set(**self._input_kwargs)
 
     @classmethod

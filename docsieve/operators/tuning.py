@@ -12,7 +12,6 @@ from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from docsieve.operators import evaluation, linear
 from docsieve.operators.analyzer import Analyzer, TextTerms
@@ -44,9 +43,13 @@ ROWS_PER_TASK = 10_000
 
 
 def _ready(vectors: DataFrame) -> DataFrame:
-    """Cache training vectors, filled by as many tasks as the texts had, read by as few as needed."""
-    cached = vectors.persist(StorageLevel.MEMORY_AND_DISK)
-    return cached.coalesce(-(-max(1, cached.count()) // ROWS_PER_TASK))
+    """Write vectors out and read them back in as few partitions as a solver needs.
+
+    Solvers run one job per step; with the texts and their expressions out of the lineage
+    a step ships nothing but the weights.
+    """
+    written = materialize(vectors, "vectors")
+    return written.coalesce(-(-max(1, written.count()) // ROWS_PER_TASK))
 
 
 def _pick(candidate: Candidate, keys: Sequence[str]) -> Candidate:
@@ -139,13 +142,8 @@ class TextTuning:
             row = evaluation.metrics(evaluation.confusion_counts(scored), (self.beta,)).first()
             return row[f"f{self.beta:g}"]
 
-        session = ready_train.sparkSession
-        try:
-            with ThreadPool(min(self.parallelism, len(members))) as pool:
-                return pool.map(inheritable_thread_target(session)(run), members)
-        finally:
-            train.unpersist()
-            valid.unpersist()
+        with ThreadPool(min(self.parallelism, len(members))) as pool:
+            return pool.map(inheritable_thread_target(ready_train.sparkSession)(run), members)
 
     def refit(self, train: DataFrame, candidate: Candidate) -> FittedPipeline:
         """Fit one candidate on all given rows."""
@@ -155,10 +153,7 @@ class TextTuning:
         vectors = plain_columns(fitted.model.transform(terms)).select(self.key, "label", "features")
         if self.balanced:
             vectors = ClassBalance().fit(train).transform(vectors)
-        try:
-            model = self._classifier(candidate).fit(_ready(vectors))
-        finally:
-            vectors.unpersist()
+        model = self._classifier(candidate).fit(_ready(vectors))
         return FittedPipeline(PipelineModel([words, *fitted.model.stages, model]), fitted.vocabulary, candidate)
 
 

@@ -48,14 +48,14 @@ def without_header(lines: DataFrame, first_field: str) -> DataFrame:
     return lines.filter(~F.col("value").startswith(first_field + "\t"))
 
 
-def parse_records(lines: DataFrame, value: str = "value") -> DataFrame:
+def parse_records(lines: DataFrame, value: str = "value", keep: Sequence[str] = ()) -> DataFrame:
     """Fields by layout: five with a class, four without; other counts are marked with a reason.
 
     Every field is stripped, the class is lower-cased, and a line of another length keeps
     its text in ``raw`` with the fields NULL.
     """
     fields = F.transform(F.split(F.col(value), "\t", -1), strip_field)
-    parsed = lines.select(F.col(value).alias("raw"), fields.alias("_f"), F.size(fields).alias("n_fields"))
+    parsed = lines.select(*keep, F.col(value).alias("raw"), fields.alias("_f"), F.size(fields).alias("n_fields"))
     five, four = F.col("n_fields") == 5, F.col("n_fields") == 4
 
     def pick(with_class: int, without: int | None = None) -> Column:
@@ -68,6 +68,7 @@ def parse_records(lines: DataFrame, value: str = "value") -> DataFrame:
         pick(2, 1).alias("factors"),
         pick(3, 2).alias("title"),
         pick(4, 3).alias("description"),
+        *keep,
         "n_fields",
         F.when(~(five | four), F.concat(F.lit("field count "), F.col("n_fields"))).alias("quarantine_reason"),
         "raw",

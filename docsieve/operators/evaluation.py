@@ -60,30 +60,29 @@ def confusion_matrix(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def classification_report(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Precision, recall, F1 and support per class and their support-weighted average."""
-    counts = confusion_counts(df, by)
-    sides = F.array(
-        F.struct(F.lit(CLASS_NAMES[1]).alias("name"), F.col("tp").alias("hit"), F.col("fp").alias("wrong"),
-                 F.col("fn").alias("missed")),
-        F.struct(F.lit(CLASS_NAMES[0]).alias("name"), F.col("tn").alias("hit"), F.col("fn").alias("wrong"),
-                 F.col("fp").alias("missed")),
+    tp, fp, tn, fn = (F.col(c) for c in ("tp", "fp", "tn", "fn"))
+
+    def side(name: str, hit: Column, wrong: Column, missed: Column) -> Column:
+        precision, recall = _ratio(hit, hit + wrong), _ratio(hit, hit + missed)
+        return F.struct(
+            F.lit(name).alias("name"), precision.alias("precision"), recall.alias("recall"),
+            fbeta(precision, recall, 1).alias("f1"), (hit + missed).alias("support"),
+        )
+
+    both = confusion_counts(df, by).select(
+        *by, side(CLASS_NAMES[1], tp, fp, fn).alias("yes"), side(CLASS_NAMES[0], tn, fn, fp).alias("no")
     )
-    per_class = counts.select(*by, F.inline(sides)).withColumns(
-        {
-            "precision": _ratio(F.col("hit"), F.col("hit") + F.col("wrong")),
-            "recall": _ratio(F.col("hit"), F.col("hit") + F.col("missed")),
-            "support": F.col("hit") + F.col("missed"),
-        }
-    ).withColumn("f1", fbeta(F.col("precision"), F.col("recall"), 1))
-    rows = per_class.select(*by, "name", "precision", "recall", "f1", "support")
+    yes, no = F.col("yes"), F.col("no")
+    support = yes["support"] + no["support"]
 
     def weighted(name: str) -> Column:
-        return _ratio(F.sum(F.col(name) * F.col("support")), F.sum("support")).alias(name)
+        return _ratio(yes[name] * yes["support"] + no[name] * no["support"], support).alias(name)
 
-    average = rows.groupBy(*by).agg(
+    average = F.struct(
         F.lit("avg / total").alias("name"), weighted("precision"), weighted("recall"), weighted("f1"),
-        F.sum("support").alias("support"),
+        support.alias("support"),
     )
-    return rows.unionByName(average.select(rows.columns))
+    return both.select(*by, F.inline(F.array(yes, no, average)))
 
 
 def fbeta_table(df: DataFrame, betas: Sequence[float], by: Sequence[str] = ()) -> DataFrame:

@@ -107,7 +107,8 @@ def model_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     path = f"{shared_dir(spark)}/model-{uuid.uuid4().hex}"
     fitted.model.write().overwrite().save(path)
     loaded = PipelineModel.load(path)
-    docs = spread(m.documents(spark, folder).select("doc_id", "text"), "doc_id")
+    docs = m.documents(spark, folder).select("doc_id", "text")
+    docs = spread(docs, "doc_id", docs)
     scored = models.with_confidence(loaded.transform(docs), loaded)
     return scored.select("doc_id", F.col("prediction").cast("int").alias("prediction"), "confidence")
 

@@ -21,6 +21,7 @@ OBJECT_TYPE, SOURCE, PAGE_SOURCE, LOADER, UNATTRIBUTED = 42, 189, 190, 3, 19
 TERMS = (
     (1, "Not Evaluated"), (2, "Yes"), (3, "No"), (11, "raw factor"), (12, "other"), (13, "usage event"),
 )
+_TERM_ROWS = ", ".join(f"({k}, '{t}')" for k, t in TERMS)
 KEYS = Keys(
     object_type=OBJECT_TYPE, source=SOURCE, not_evaluated=1, loader_user=LOADER, factor_term="raw factor"
 )
@@ -78,7 +79,8 @@ def curation_tables(spark: SparkSession, folder: str) -> Tables:
         experiment=experiment,
         accession=ids(docs, "doc_id", "D-", SOURCE).unionByName(ids(pages, "page_id", "P-", PAGE_SOURCE)),
         property=properties,
-        term=spark.createDataFrame(TERMS, "term_key int, term string"),
+        # As inline values the dictionary has a known size, so joins with it need no shuffle.
+        term=spark.sql(f"SELECT * FROM VALUES {_TERM_ROWS} AS t(term_key, term)"),
         user=read_table(spark, folder, "region").select(
             F.col("r_regionkey").alias("user_key"), F.col("r_name").alias("user_name")
         ),
@@ -88,7 +90,8 @@ def curation_tables(spark: SparkSession, folder: str) -> Tables:
 def labelled_documents(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, text, label) of the documents that have a quality label; label 1 is 'yes'."""
     labels = read_table(spark, folder, "labels").select("doc_id", F.col("quality").alias("label"))
-    return spread(documents(spark, folder).select("doc_id", "text").join(labels, "doc_id"), "doc_id")
+    docs = documents(spark, folder).select("doc_id", "text")
+    return spread(docs.join(labels, "doc_id"), "doc_id", docs)
 
 
 SQL_TABLES = f"""
@@ -108,7 +111,7 @@ property AS (
   UNION ALL SELECT doc_id, {OBJECT_TYPE}, 11, source FROM documents WHERE lang <> 'en'
   UNION ALL SELECT user_id, {OBJECT_TYPE}, 13, event_type FROM events
   UNION ALL SELECT doc_id, {OBJECT_TYPE}, 12, CAST(toxic AS VARCHAR) FROM labels),
-term AS (SELECT * FROM (VALUES {", ".join(f"({k}, '{t}')" for k, t in TERMS)}) AS v(term_key, term)),
+term AS (SELECT * FROM (VALUES {_TERM_ROWS}) AS v(term_key, term)),
 users AS (SELECT r_regionkey AS user_key, r_name AS user_name FROM region),
 factor_list AS (
   SELECT a.accid, string_agg(p.value, ' | ' ORDER BY p.value) AS factors

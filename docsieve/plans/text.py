@@ -20,7 +20,8 @@ MIN_DF, MAX_DF, MAX_FEATURES = 0.01, 0.8, 5000
 
 
 def _text(spark: SparkSession, folder: str) -> DataFrame:
-    return spread(m.documents(spark, folder).select("doc_id", "text"), "doc_id")
+    docs = m.documents(spark, folder).select("doc_id", "text")
+    return spread(docs, "doc_id", docs)
 
 
 def clean_text(spark: SparkSession, folder: str) -> DataFrame:

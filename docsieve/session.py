@@ -46,11 +46,12 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give a small input enough partitions for CPU-heavy work on its texts.
+def spread(df: DataFrame, key: str, scan: DataFrame) -> DataFrame:
+    """Give rows read from a small file enough partitions for CPU-heavy work on their texts.
 
-    An input that already has a split per core (any large one) is returned as it is, so
-    at scale this adds no shuffle.
+    ``scan`` is the plain table scan behind ``df``; counting its splits runs nothing. When it
+    already has a split per core, as any large table does, ``df`` is returned as it is, so at
+    scale this adds no shuffle.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+    return df if scan.rdd.getNumPartitions() >= cores else df.repartition(cores, key)

@@ -16,7 +16,7 @@ from docsieve.operators.ranking import ordered_index
 from docsieve.session import materialize
 
 # Terms a vector model may hold in memory on every executor; beyond it features stay relational.
-VECTOR_TERMS = 5_000_000
+VECTOR_TERMS = 1_000_000
 
 
 def term_counts(
@@ -210,6 +210,12 @@ def fit_features(
     size = table.count()
     if not 0 < size <= VECTOR_TERMS:
         raise ValueError(f"{size} terms after pruning; a vector model takes 1 to {VECTOR_TERMS}")
+    return _vector_stages(df, spec, table, n_docs, terms, output)
+
+
+def _vector_stages(
+    df: DataFrame, spec: FeatureSpec, table: DataFrame, n_docs: int, terms: str, output: str
+) -> FittedFeatures:
     rows = table.orderBy("idx").select("term", smooth_idf(F.col("df"), n_docs).alias("idf")).collect()
     vocabulary = [r["term"] for r in rows]
     stages = [
@@ -219,12 +225,13 @@ def fit_features(
     ]
     last = "_tf"
     if spec.weighting == "tfidf":
-        stages.append(ElementwiseProduct(scalingVec=Vectors.dense([r["idf"] for r in rows]), inputCol=last, outputCol="_w"))
+        idf = Vectors.dense([r["idf"] for r in rows])
+        stages.append(ElementwiseProduct(scalingVec=idf, inputCol=last, outputCol="_w"))
         stages.append(Normalizer(p=2.0, inputCol="_w", outputCol="_u"))
         last = "_u"
     if spec.scaler:
         values = vector_rows(PipelineModel(stages).transform(df), [], last)
-        scales = [1.0] * size
+        scales = [1.0] * len(rows)
         for row in _vector_scales(values, spec.scaler, n_docs).collect():
             scales[row["idx"]] = 1.0 / row["scale"]
         stages.append(ElementwiseProduct(scalingVec=Vectors.dense(scales), inputCol=last, outputCol=output))
@@ -233,6 +240,31 @@ def fit_features(
     return FittedFeatures(PipelineModel(stages), vocabulary, table)
 
 
+def long_features(df: DataFrame, key: str, spec: FeatureSpec, terms: str = "terms") -> DataFrame:
+    """(key, idx, term, value) of every document, fitted on the same documents.
+
+    Vector stages do it without a shuffle while the vocabulary fits on every executor; a larger
+    one is joined and normalised relationally.
+    """
+    n_docs = df.count()
+    table = fit_vocabulary(df, n_docs, terms, spec.min_df, spec.max_df, spec.max_features)
+    if 0 < table.count() <= VECTOR_TERMS:
+        fitted = _vector_stages(df, spec, table, n_docs, terms, "features")
+        rows = vector_rows(fitted.model.transform(df), [key])
+        return rows.join(table.select("idx", "term"), "idx").select(key, "idx", "term", "value")
+    counts = term_counts(df, [key], terms, binary=spec.weighting == "binary")
+    if spec.weighting == "tfidf":
+        values = l2_norm(weigh(counts, table, n_docs), key)
+    else:
+        values = counts.join(table, "term").withColumn("value", F.col("tf").cast("double"))
+    values = values.select(key, "idx", "term", "value")
+    if spec.scaler == "std":
+        values = standard_scale(values, n_docs)
+    elif spec.scaler == "maxabs":
+        values = max_abs_scale(values)
+    return values.select(key, "idx", "term", "value")
+
+
 def _vector_scales(values: DataFrame, scaler: str, n_docs: int) -> DataFrame:
     """(idx, scale) for the columns whose scale is not zero."""
     if scaler == "maxabs":

@@ -139,11 +139,15 @@ def confidence(raw: str = "rawPrediction") -> Column:
     return F.get(vector_to_array(F.col(raw)), F.lit(1))
 
 
+def has_margin(model: object) -> bool:
+    """Whether a model has a decision function; naive Bayes and trees have none."""
+    last = model.stages[-1] if isinstance(model, PipelineModel) else model
+    return not type(last).__name__.startswith(("NaiveBayes", "DecisionTree"))
+
+
 def with_confidence(scored: DataFrame, model: object) -> DataFrame:
     """Append ``confidence``: the signed margin, NULL for models without a decision function."""
-    last = model.stages[-1] if isinstance(model, PipelineModel) else model
-    has_margin = not type(last).__name__.startswith(("NaiveBayes", "DecisionTree"))
-    value = confidence() if has_margin else F.lit(None).cast("double")
+    value = confidence() if has_margin(model) else F.lit(None).cast("double")
     return scored.withColumn("confidence", value)
 
 

@@ -104,10 +104,8 @@ def vocabulary_slices(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _features(spark: SparkSession, folder: str, weighting: str, scaler: str | None) -> DataFrame:
-    docs = WORDS.terms(_text(spark, folder))
-    fitted = ft.fit_features(docs, ft.FeatureSpec(MIN_DF, MAX_DF, None, weighting, scaler))
-    long = ft.vector_rows(fitted.model.transform(docs), ["doc_id"])
-    return long.join(fitted.table.select("idx", "term"), "idx").select("doc_id", "idx", "term", "value")
+    spec = ft.FeatureSpec(MIN_DF, MAX_DF, None, weighting, scaler)
+    return ft.long_features(WORDS.terms(_text(spark, folder)), "doc_id", spec)
 
 
 def term_counts(spark: SparkSession, folder: str) -> DataFrame:
@@ -141,6 +139,12 @@ def word_count_hist(spark: SparkSession, folder: str) -> DataFrame:
     return ft.histogram(sizes, "n", 50)
 
 
+def tfidf_hist(spark: SparkSession, folder: str) -> DataFrame:
+    """How many tf-idf weights lie in which twentieth of the unit range."""
+    values = _features(spark, folder, "tfidf", None).select(F.floor(F.round("value", 6) * 20).alias("bucket"))
+    return values.groupBy("bucket").agg(F.count("*").alias("n_rows"))
+
+
 QUERIES = {
     "clean_text": clean_text,
     "nonascii_profile": nonascii_profile,
@@ -162,6 +166,7 @@ QUERIES = {
     "maxabs_scaled": maxabs_scaled,
     "class_weights": class_weights,
     "word_count_hist": word_count_hist,
+    "tfidf_hist": tfidf_hist,
 }
 
 _STOP_LIST = ", ".join(f"'{w}'" for w in ENGLISH)
@@ -315,6 +320,9 @@ SQL = {
     "term_counts": f"WITH {_PRUNED} SELECT doc_id, idx, term, CAST(tf AS DOUBLE) AS value FROM cnt JOIN vocab USING (term)",
     "binary_counts": f"WITH {_PRUNED} SELECT doc_id, idx, term, 1.0::DOUBLE AS value FROM cnt JOIN vocab USING (term)",
     "tfidf_l2": f"WITH {_WEIGHTED} SELECT doc_id, idx, term, round(value, 6) AS value FROM u",
+    "tfidf_hist": f"""
+        WITH {_WEIGHTED}
+        SELECT CAST(floor(round(value, 6) * 20) AS BIGINT) AS bucket, count(*) AS n_rows FROM u GROUP BY 1""",
     "std_scaled": f"""
         WITH {_WEIGHTED}, sd AS (
           SELECT term, sqrt(greatest(sum(value * value) / {_N} - (sum(value) / {_N}) * (sum(value) / {_N}), 0)) AS s

@@ -122,6 +122,20 @@ def test_relational_and_vector_features_agree(spark):
     assert all(abs(vector[k] - scaled[k]) < 1e-9 for k in vector)
 
 
+@pytest.mark.parametrize("weighting, scaler", [("tfidf", "std"), ("tfidf", None), ("count", "maxabs"), ("binary", None)])
+def test_long_features_do_not_depend_on_the_path(spark, monkeypatch, weighting, scaler):
+    df = docs(spark, "a b b c", "a c", "", "b d d d", "c", "a b c d")
+    spec = ft.FeatureSpec(1, 1.0, None, weighting, scaler)
+
+    def run():
+        return {(r["doc_id"], r["idx"], r["term"]): r["value"] for r in ft.long_features(df, "doc_id", spec).collect()}
+
+    small = run()
+    monkeypatch.setattr(ft, "VECTOR_TERMS", 1)
+    large = run()
+    assert small.keys() == large.keys() and all(abs(small[k] - large[k]) < 1e-9 for k in small)
+
+
 def test_scalers_keep_constant_columns(spark):
     rows = [(0, "const", 2.0), (1, "const", 2.0), (0, "vary", -4.0), (1, "vary", 2.0), (0, "sparse", 3.0)]
     df = spark.createDataFrame(rows, "doc_id long, term string, value double")

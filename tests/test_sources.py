@@ -4,6 +4,7 @@ import pytest
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
+from docsieve import jobs
 from docsieve.config import Settings
 from docsieve.operators.pipelines import BLESSED, candidate_pipelines
 from docsieve.operators.tuning import expand_grid
@@ -122,3 +123,30 @@ def test_stream_scores_each_record_once(spark, small, tmp_path):
     rows = {r["id"]: r["prediction"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert rows == {"E1": 1, "E3": 0}
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_prepare_and_predict_jobs(spark, tmp_path):
+    head = "exp ID\teval state\tfactors\ttitle\tdescription\n"
+    rows = [f"Y{i}\tYes\tage\tembryo {i}\tmutant tissue\n" for i in range(8)]
+    rows += [f"N{i}\tNo\ttreatment\tculture {i}\tstem fibroblast\n" for i in range(8)]
+    rows += ["R1\tYes\t\tlimb (ENCSR070)\tx\n", "Q1\tMaybe\t\tt\td\n", "short\tline\n"]
+    (tmp_path / "train.tsv").write_text(head + "".join(rows))
+    counts = jobs.prepare_training(spark, str(tmp_path / "train.tsv"), str(tmp_path / "corpus"), Settings())
+    assert {r["kind"]: r["n_records"] for r in counts.collect()} == {"yes": 8, "no": 8, "skipped": 1, "quarantined": 2}
+
+    docs = corpus.read_corpus(spark, str(tmp_path / "corpus")).select(
+        F.col("id").alias("doc_id"), "text", (F.col("class_name") == "yes").cast("int").alias("label")
+    )
+    run = candidate_pipelines()[BLESSED]
+    run.features = type(run.features)(1, 1.0)
+    run.refit(docs, {"C": 1e-2}).model.write().overwrite().save(str(tmp_path / "model"))
+    (tmp_path / "new.tsv").write_text(
+        "exp ID\tfactors\ttitle\tdescription\nA\tage\tembryo\tmutant\nB\tNone\tculture\tfibroblast\nC\t\tENCSR1\tx\n"
+    )
+    scored = jobs.predict_records(
+        spark, str(tmp_path / "new.tsv"), str(tmp_path / "model"), str(tmp_path / "short"), Settings(), str(tmp_path / "long")
+    )
+    assert {r["id"]: r["prediction"] for r in scored.collect()} == {"A": 1.0, "B": 0.0}
+    text = "".join(p.read_text() for p in (tmp_path / "short").glob("part-*"))
+    assert "ID\tPred Class\tConfidence\tAbs Value" in text and "A\tyes\t" in text and "C\t" not in text
+    assert "Processed Doc" in "".join(p.read_text() for p in (tmp_path / "long").glob("part-*"))

@@ -25,9 +25,11 @@ def build_session(name: str = "docsieve", **conf: object) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a scratch folder only where the session names none."""
-    path = spark.conf.get(CHECKPOINT_CONF, None)
+    """The cluster's shared folder; a scratch folder only in local mode where none is named."""
+    path = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder all executors can reach")
         path = tempfile.mkdtemp(prefix="docsieve-")
         spark.conf.set(CHECKPOINT_CONF, path)
     return path

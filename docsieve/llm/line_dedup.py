@@ -90,13 +90,15 @@ def line_dedup(docs: DataFrame, min_docs: int = 3, min_chars: int = 20) -> DataF
     joined = own.withColumn("version", F.xxhash64("text")).join(
         bitmaps, F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("version") == F.col("doc_version")), "left"
     )
-    lines, runs = _lines(F.col("text")), F.col("dropped_runs")
+    # Named columns that several expressions read: they are made once a row, not once for each line.
+    cut = joined.withColumn("lines", _lines(F.col("text"))).withColumn("all", F.sequence(F.lit(0), F.size("lines") - 1))
+    runs = F.col("dropped_runs")
     gone = F.flatten(F.transform(runs, lambda r: F.sequence(r["start"], r["start"] + r["length"] - 1)))
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
+    stay = F.array_except("all", gone)
+    n_lines, n_dropped = F.size("lines").cast("long"), F.when(runs.isNull(), 0).otherwise(F.size(gone)).cast("long")
     kept = F.when(runs.isNull(), filled("text")).otherwise(
-        F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
+        F.array_join(F.transform(stay, lambda i: F.get("lines", i)), "\n")
     )
-    return joined.select(
-        "document", "doc_id", F.size(lines).cast("long").alias("n_lines"),
-        F.when(runs.isNull(), 0).otherwise(F.size(gone)).cast("long").alias("n_dropped"), runs.alias("dropped_runs"), kept.alias("kept"),
+    return cut.select(
+        "document", "doc_id", n_lines.alias("n_lines"), n_dropped.alias("n_dropped"), runs.alias("dropped_runs"), kept.alias("kept")
     )

@@ -77,3 +77,28 @@ FROM named
 
 
 LICENSE_SCAN = _license_scan()
+
+_WORDS = f"list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
+
+DECONTAMINATE = f"""
+WITH item AS (
+    SELECT item_id, hash(item_id, text) AS item, {_WORDS} AS w FROM (SELECT DISTINCT item_id, text FROM benchmark)
+), sized AS (
+    SELECT *, least(len(w), 5) AS width FROM item WHERE len(w) > 0
+), wanted AS (
+    SELECT item_id, item, width, unnest(list_distinct(list_transform(
+        range(1, len(w) - width + 2), lambda i: array_to_string(list_slice(w, i, i + width - 1), ' ')
+    ))) AS shingle FROM sized
+), total AS (SELECT item, count(*) AS n FROM wanted GROUP BY item),
+doc AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+width AS (SELECT DISTINCT width FROM sized),
+held AS (
+    SELECT DISTINCT doc_id, width, unnest(list_transform(
+        range(1, len(w) - width + 2), lambda i: array_to_string(list_slice(w, i, i + width - 1), ' ')
+    )) AS shingle FROM doc, width
+), counted AS (
+    SELECT doc_id, item, any_value(item_id) AS item_id, count(*) AS n_found FROM held JOIN wanted USING (width, shingle) GROUP BY doc_id, item
+)
+SELECT doc_id, item_id, n AS n_shingles, n_found, round(n_found / n, 6) AS containment
+FROM counted JOIN total USING (item) WHERE n_found >= 0.8 * n
+"""

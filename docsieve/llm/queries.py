@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docsieve.llm import oracles
+from docsieve.llm.decontaminate import contaminated
 from docsieve.llm.licenses import license_scan
 from docsieve.llm.line_dedup import line_dedup
 from docsieve.llm.pieces import encode_texts, load_model
+from docsieve.llm.quality import quality
 from docsieve.llm.simhash import simhash
 from docsieve.llm.text import table
 from docsieve.llm.topk import top_k
@@ -35,6 +37,16 @@ def op4_top_k(spark: SparkSession, folder: str) -> DataFrame:
     return top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
+    scored = quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return scored.select("doc_id", "text_score", "site_score", "quality", "keep")
+
+
+def op7_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    found = contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select("doc_id", "item_id", "n_shingles", "n_found", "containment")
+
+
 def op8_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter(table(spark, folder, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -49,8 +61,9 @@ def op10_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op2_simhash, op3_line_dedup, op4_top_k, op8_url_filter, op9_license_scan, op10_sentencepiece)
+    for f in (op2_simhash, op3_line_dedup, op4_top_k, op5_quality, op7_decontaminate, op8_url_filter, op9_license_scan, op10_sentencepiece)
 }
 SQL = {
-    "op3_line_dedup": oracles.LINE_DEDUP, "op4_top_k": oracles.TOP_K, "op9_license_scan": oracles.LICENSE_SCAN,
+    "op3_line_dedup": oracles.LINE_DEDUP, "op4_top_k": oracles.TOP_K, "op7_decontaminate": oracles.DECONTAMINATE,
+    "op9_license_scan": oracles.LICENSE_SCAN,
 }

@@ -11,6 +11,7 @@ from docsieve.llm import oracles
 from docsieve.llm.decontaminate import contaminated
 from docsieve.llm.licenses import license_scan
 from docsieve.llm.line_dedup import line_dedup
+from docsieve.llm.lm_score import lm_scores
 from docsieve.llm.pieces import encode_texts, load_model
 from docsieve.llm.quality import quality
 from docsieve.llm.simhash import simhash
@@ -23,6 +24,10 @@ TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 PIECE_MODEL = "piece_bpe_32k.model"
 
 
+def op1_lm_score(spark: SparkSession, folder: str) -> DataFrame:
+    return lm_scores(table(spark, folder, "documents"))
+
+
 def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash(table(spark, folder, "documents"))
 
@@ -61,7 +66,10 @@ def op10_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op2_simhash, op3_line_dedup, op4_top_k, op5_quality, op7_decontaminate, op8_url_filter, op9_license_scan, op10_sentencepiece)
+    for f in (
+        op1_lm_score, op2_simhash, op3_line_dedup, op4_top_k, op5_quality, op7_decontaminate, op8_url_filter, op9_license_scan,
+        op10_sentencepiece,
+    )
 }
 SQL = {
     "op3_line_dedup": oracles.LINE_DEDUP, "op4_top_k": oracles.TOP_K, "op7_decontaminate": oracles.DECONTAMINATE,

@@ -15,6 +15,7 @@ from docsieve.llm.lm_score import lm_scores
 from docsieve.llm.pieces import encode_texts, load_model
 from docsieve.llm.quality import quality
 from docsieve.llm.simhash import simhash
+from docsieve.llm.suffix_dedup import suffix_dedup
 from docsieve.llm.text import table
 from docsieve.llm.topk import top_k
 from docsieve.llm.url_filter import url_filter
@@ -47,6 +48,10 @@ def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", "text_score", "site_score", "quality", "keep")
 
 
+def op6_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup(table(spark, folder, "documents")).drop("kept")
+
+
 def op7_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     found = contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return found.select("doc_id", "item_id", "n_shingles", "n_found", "containment")
@@ -67,8 +72,8 @@ def op10_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_lm_score, op2_simhash, op3_line_dedup, op4_top_k, op5_quality, op7_decontaminate, op8_url_filter, op9_license_scan,
-        op10_sentencepiece,
+        op1_lm_score, op2_simhash, op3_line_dedup, op4_top_k, op5_quality, op6_suffix_dedup, op7_decontaminate, op8_url_filter,
+        op9_license_scan, op10_sentencepiece,
     )
 }
 SQL = {

@@ -58,13 +58,14 @@ def _fingerprints(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.
         prints = np.fromiter(
             (fingerprint(python_words(t.as_py()), width) for t in batch.column("text")), dtype=np.uint64, count=batch.num_rows
         )
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints.view(np.int64))], ["doc_id", "fp"])
+        own = pa.array(prints.view(np.int64))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("version"), own], ["doc_id", "version", "fp"])
 
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """``doc_id`` and ``fp`` (the 64 bits as a signed long)."""
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return own.mapInArrow(lambda batches: _fingerprints(batches, width), "doc_id long, fp long")
+    """``doc_id``, ``version`` (a hash of the text) and ``fp`` (the 64 bits as a signed long)."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), "text")
+    return own.mapInArrow(lambda batches: _fingerprints(batches, width), "doc_id long, version long, fp long")
 
 
 def _signed(mask: int) -> int:
@@ -217,15 +218,32 @@ def near_components(prints: DataFrame, distance: int = 2, group_rows: int = GROU
     return components(links).select(F.col("node").alias("fp"), "root")
 
 
+def _grouped(own: DataFrame, distance: int) -> DataFrame:
+    """``fp``, ``component_id`` and ``head`` (the first document: id and version) of each distinct fingerprint of ``own``."""
+    # Documents without an id come after all others.
+    head = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "version")
+    nodes = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min(head).alias("head")), "nodes")
+    linked = near_components(nodes.select("fp"), distance)
+    rooted = nodes.join(linked, "fp", "left").select("fp", "first", "head", F.coalesce("root", "fp").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.min("head").alias("head"))
+    return rooted.select("fp", "root").join(least, "root").select("fp", "component_id", "head")
+
+
 def simhash(docs: DataFrame, distance: int = 2, width: int = 3) -> DataFrame:
     """``doc_id``, ``fingerprint`` (16 hex digits) and ``component_id`` (the smallest id reachable by links)."""
     own = materialize(fingerprints(docs, width), "prints")
-    nodes = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
-    linked = near_components(nodes.select("fp"), distance)
-    root = F.coalesce("root", "fp")
-    rooted = nodes.join(linked, "fp", "left").select("fp", "first", root.alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    known = materialize(rooted.join(least, "root").select("fp", "component_id"), "components")
+    known = materialize(_grouped(own, distance).select("fp", "component_id"), "components")
     return own.join(known, "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
+
+
+def keep_first(docs: DataFrame, distance: int = 2, width: int = 3) -> DataFrame:
+    """One row of ``docs`` for each component, with all its columns: the smallest id, then the smallest hash of the text."""
+    own = materialize(fingerprints(docs, width), "prints")
+    heads = materialize(_grouped(own, distance).select("head.doc_id", "head.version").distinct(), "heads")
+    heads = heads.select(F.col("doc_id").alias("__id"), F.col("version").alias("__v"))
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__v"))
+    # Rows that repeat an id and a text are one document.
+    kept = docs.join(heads, same).dropDuplicates(["__id", "__v"])
+    return kept.select(*[docs[f"`{c}`"] for c in docs.columns])

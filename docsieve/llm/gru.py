@@ -75,7 +75,11 @@ class Network:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    """In place."""
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 def lanes(texts: list[np.ndarray], width: int, start: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -104,24 +108,34 @@ def lanes(texts: list[np.ndarray], width: int, start: int) -> tuple[np.ndarray,
 def _forward(net: Network, given: np.ndarray, first: np.ndarray, state: np.ndarray, keep: list | None) -> tuple[np.ndarray, np.ndarray]:
     """States after each step of a window and the last one; ``keep`` gets what the backward pass needs."""
     hidden = net.loop.shape[0]
-    states = np.empty((*given.shape, hidden), dtype=np.float32)
+    states = np.empty((*given.shape, hidden), dtype=net.loop.dtype)
+    fresh = first.any(axis=1)
     for t in range(len(given)):
-        if first[t].any():
-            state = np.where(first[t][:, None], np.float32(0), state)
+        if fresh[t]:
+            state = np.where(first[t][:, None], net.loop.dtype.type(0), state)
         gates, turned = net.given[given[t]], state @ net.loop
-        both = _sigmoid(gates[:, : 2 * hidden] + turned[:, : 2 * hidden])
+        both = gates[:, : 2 * hidden]
+        both += turned[:, : 2 * hidden]
+        both = _sigmoid(both)
         z, r = both[:, :hidden], both[:, hidden:]
-        new = np.tanh(gates[:, 2 * hidden :] + r * turned[:, 2 * hidden :])
-        after = new + z * (state - new)
+        new = r * turned[:, 2 * hidden :]
+        new += gates[:, 2 * hidden :]
+        np.tanh(new, out=new)
         if keep is not None:
             keep.append((state, z, r, new, turned[:, 2 * hidden :]))
-        states[t] = state = after
+        after = states[t]
+        np.subtract(state, new, out=after)
+        after *= z
+        after += new
+        state = after
     return states, state
 
 
 def _log_softmax(logits: np.ndarray) -> np.ndarray:
+    """In place."""
     logits -= logits.max(axis=1, keepdims=True)
-    return logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
+    logits -= np.log(np.exp(logits).sum(axis=1, keepdims=True))
+    return logits
 
 
 def _class_of(net: Network, wanted: np.ndarray) -> np.ndarray:
@@ -144,7 +158,9 @@ def _word_logits(net: Network, states: np.ndarray, wanted: np.ndarray) -> tuple[
 
 def log_probabilities(net: Network, states: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """Natural log probability of each wanted id given its state; the id ``other`` has that of its class."""
-    total = _log_softmax(states @ net.to_class + net.class_bias)[np.arange(len(wanted)), _class_of(net, wanted)].astype(np.float64)
+    classes = states @ net.to_class
+    classes += net.class_bias
+    total = _log_softmax(classes)[np.arange(len(wanted)), _class_of(net, wanted)].astype(np.float64)
     order, _, logits = _word_logits(net, states, wanted)
     total[order] += _log_softmax(logits)[np.arange(len(order)), wanted[order] % CLASS_WORDS]
     return total

@@ -176,6 +176,23 @@ def _score(batches: Iterator[pa.RecordBatch], lexicon: Lexicon, net: Network) ->
         yield out(rows)
 
 
+def most_frequent(counts: DataFrame, known: int) -> list[tuple[bytes, int]]:
+    """The ``known`` most frequent words, ties by the word.
+
+    A histogram of the counts on a scale of 16 steps to a doubling (a thousand rows at most) gives a bound that few more
+    words reach, so tasks send those and not a full list each.
+    """
+    step = F.floor(16 * F.log2("n"))
+    steps = sorted(counts.groupBy(step.alias("step")).agg(F.count("*").alias("words")).collect(), reverse=True)
+    bound, total = 0, 0
+    for row in steps:
+        bound, total = row["step"], total + row["words"]
+        if total >= known:
+            break
+    rows = counts.filter(step >= bound).orderBy(F.desc("n"), "word").limit(known).collect()
+    return [(bytes(r["word"]), r["n"]) for r in rows]
+
+
 def lm_scores(docs: DataFrame, known: int = KNOWN, vocabulary: int = VOCABULARY, rounds: int = ROUNDS, part: int = PART) -> DataFrame:
     """``doc_id``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score`` (log10 probabilities)."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -184,8 +201,7 @@ def lm_scores(docs: DataFrame, known: int = KNOWN, vocabulary: int = VOCABULARY,
         learn.select("text").mapInArrow(_count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "counts"
     )
     size = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count("*").alias("distinct")).first()
-    top = counts.orderBy(F.desc("n"), "word").limit(known).collect()  # ``known`` rows
-    lexicon = Lexicon([(bytes(r["word"]), r["n"]) for r in top], size["tokens"], size["distinct"], vocabulary)
+    lexicon = Lexicon(most_frequent(counts, known), size["tokens"], size["distinct"], vocabulary)
     net = train_network(learn, lexicon, rounds, part)
     sc = docs.sparkSession.sparkContext
     words, trained = sc.broadcast(lexicon), sc.broadcast(net)

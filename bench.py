@@ -37,6 +37,8 @@ def main() -> None:
         **{
             "spark.master": f"local[{cpus}]", "spark.sql.shuffle.partitions": cpus, "spark.driver.memory": "16g",
             "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
+            # The tables have one row group each, which no scan setting splits.
+            "docsieve.spread": cpus,
         },
     )
     spark.sparkContext.setLogLevel("ERROR")

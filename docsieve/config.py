@@ -11,7 +11,7 @@ POSITIVE_INDEX = 1
 
 @dataclass(frozen=True)
 class Settings:
-    """Knobs of the jobs; every one can be overridden per run."""
+    """Knobs of the jobs; every one can be overridden per run. The defaults are fixed values."""
 
     reject_prefix: str = "ENCSR"
     keep_rejected: bool = False

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docsieve.config import Settings
 from docsieve.functions.documents import build_document, reject_reason
 from docsieve.functions.preprocess import preprocess
 from docsieve.operators.models import has_margin, with_confidence
+from docsieve.session import materialize
 from docsieve.sources.corpus import write_corpus
 from docsieve.sources.records import parse_records, read_lines, require_known_class, without_header
 from docsieve.sources.sinks import write_predictions
@@ -30,6 +31,12 @@ def read_records(spark: SparkSession, path: str, settings: Settings) -> DataFram
     )
 
 
+def outcome(otherwise: Column | None = None) -> Column:
+    """What becomes of a record: skipped by the reject rule, quarantined, or ``otherwise``."""
+    kind = F.when(F.col("reject_reason").isNotNull(), "skipped").when(F.col("quarantine_reason").isNotNull(), "quarantined")
+    return (kind if otherwise is None else kind.otherwise(otherwise)).alias("kind")
+
+
 def prepare_training(spark: SparkSession, path: str, output: str, settings: Settings) -> DataFrame:
     """Write the labelled documents of a record file by class; return the counts per outcome.
 
@@ -38,30 +45,35 @@ def prepare_training(spark: SparkSession, path: str, output: str, settings: Sett
     records = require_known_class(read_records(spark, path, settings))
     usable = F.col("quarantine_reason").isNull() & F.col("reject_reason").isNull()
     write_corpus(records.filter(usable).select("id", "class_name", F.col("document").alias("text")), output)
-    kind = (
-        F.when(F.col("reject_reason").isNotNull(), "skipped")
-        .when(F.col("quarantine_reason").isNotNull(), "quarantined")
-        .otherwise(F.col("class_name"))
-    )
-    return records.groupBy(kind.alias("kind")).agg(F.count("*").alias("n_records"))
+    return records.groupBy(outcome(F.col("class_name"))).agg(F.count("*").alias("n_records"))
 
 
 def predict_records(
     spark: SparkSession, path: str, model_path: str, output: str, settings: Settings, long_output: str | None = None
 ) -> DataFrame:
-    """Score a record file with a saved model and write the prediction files; no shuffle is involved.
+    """Score a record file with a saved model and write the prediction files; return the counts per outcome.
 
-    Class and confidence columns appear when the file has classes and the model a margin.
+    Class and confidence columns appear when the file has classes and the model a margin. Records
+    that are not scored go to ``<output>-left-out`` with their reason, so input and output rows
+    add up. Records are scored once, into the shared folder; both files are projections of that.
     """
     model = PipelineModel.load(model_path)
     records = read_records(spark, path, settings)
-    kept = records.filter(F.col("quarantine_reason").isNull() & F.col("reject_reason").isNull())
+    usable = F.col("quarantine_reason").isNull() & F.col("reject_reason").isNull()
+    kept = records.filter(usable)
     scored = model.transform(kept.withColumn("text", F.col("document")))
     if has_margin(model):
         scored = with_confidence(scored, model)
-    if kept.filter(F.col("class_name").isNotNull()).isEmpty():
+    wanted = [c for c in scored.columns if c in (*kept.columns, "prediction", "confidence")]
+    scored = materialize(scored.select(*wanted), "scored")
+    if scored.filter(F.col("class_name").isNotNull()).isEmpty():
         scored = scored.drop("class_name")
     write_predictions(scored, output)
     if long_output:
         write_predictions(scored, long_output, long=True)
-    return scored
+    left_out = materialize(
+        records.filter(~usable).select("id", "raw", F.coalesce("quarantine_reason", "reject_reason").alias("reason"), outcome()), "left-out"
+    )
+    left_out.write.mode("overwrite").parquet(f"{output}-left-out")
+    counts = scored.select(F.lit("scored").alias("kind")).unionByName(left_out.select("kind")).groupBy("kind")
+    return counts.agg(F.count("*").alias("n_records"))

@@ -15,9 +15,6 @@ from docsieve.functions.text import filled
 from docsieve.operators.ranking import ordered_index
 from docsieve.session import materialize
 
-# Terms a vector model may hold in memory on every executor; beyond it features stay relational.
-VECTOR_TERMS = 1_000_000
-
 
 def term_counts(
     df: DataFrame, keys: Sequence[str], terms: str = "terms", binary: bool = False, keep_empty: bool = False
@@ -84,7 +81,7 @@ def fit_vocabulary(
     if max_features is not None:
         kept = cap_vocabulary(kept, max_features)
     kept = materialize(kept, "vocabulary")
-    return ordered_index(kept, "term", kept.count())
+    return ordered_index(kept, "term")
 
 
 def vocabulary_slices(vocabulary: DataFrame, k: int) -> DataFrame:
@@ -202,14 +199,13 @@ def fit_features(
 ) -> FittedFeatures:
     """Fit vocabulary, idf and scale with distributed aggregates; transform is narrow.
 
-    Only model parameters (one entry per kept term) reach the driver, and only after
-    their number has been checked.
+    Only model parameters (one entry per kept term, as any linear model holds) reach the
+    driver; ``min_df``, ``max_df`` and ``max_features`` say how many there are.
     """
     n_docs = df.count() if n_docs is None else n_docs
     table = fit_vocabulary(df, n_docs, terms, spec.min_df, spec.max_df, spec.max_features)
-    size = table.count()
-    if not 0 < size <= VECTOR_TERMS:
-        raise ValueError(f"{size} terms after pruning; a vector model takes 1 to {VECTOR_TERMS}")
+    if table.isEmpty():
+        raise ValueError("no term is left after pruning")
     return _vector_stages(df, spec, table, n_docs, terms, output)
 
 
@@ -241,17 +237,9 @@ def _vector_stages(
 
 
 def long_features(df: DataFrame, key: str, spec: FeatureSpec, terms: str = "terms") -> DataFrame:
-    """(key, idx, term, value) of every document, fitted on the same documents.
-
-    Vector stages do it without a shuffle while the vocabulary fits on every executor; a larger
-    one is joined and normalised relationally.
-    """
+    """(key, idx, term, value) of every document, fitted on the same documents, for a vocabulary of any size."""
     n_docs = df.count()
     table = fit_vocabulary(df, n_docs, terms, spec.min_df, spec.max_df, spec.max_features)
-    if 0 < table.count() <= VECTOR_TERMS:
-        fitted = _vector_stages(df, spec, table, n_docs, terms, "features")
-        rows = vector_rows(fitted.model.transform(df), [key])
-        return rows.join(table.select("idx", "term"), "idx").select(key, "idx", "term", "value")
     counts = term_counts(df, [key], terms, binary=spec.weighting == "binary")
     if spec.weighting == "tfidf":
         values = l2_norm(weigh(counts, table, n_docs), key)

@@ -166,9 +166,11 @@ def naive_bayes(kind: str) -> NaiveBayes:
     return NaiveBayes(modelType=kind, smoothing=1.0, featuresCol="features", labelCol="label")
 
 
-def decision_tree(max_depth: int = 30) -> DecisionTreeClassifier:
-    """A tree grown as deep as Spark allows."""
-    return DecisionTreeClassifier(maxDepth=min(max_depth, 30), featuresCol="features", labelCol="label", seed=42)
+def decision_tree(max_depth: int = 30, seed: int = 42) -> DecisionTreeClassifier:
+    """A tree; Spark's trees have 30 levels at most."""
+    if max_depth > 30:
+        raise ValueError(f"a tree of {max_depth} levels is asked for; 30 is the most")
+    return DecisionTreeClassifier(maxDepth=max_depth, featuresCol="features", labelCol="label", seed=seed)
 
 
 def make_f_scorer(beta: float) -> Evaluator:

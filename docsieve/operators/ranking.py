@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from docsieve.session import materialize
 
-# Rows one task may number by a plain window.
-SINGLE_TASK_ROWS = 1_000_000
+# Hex digits of the hash that locate a cut, step by step; 16^12 buckets hold one row each for any table.
+PREFIXES = (4, 8, 12)
 
 
 def hash_key(key: str, seed: int) -> Column:
@@ -18,31 +18,29 @@ def hash_key(key: str, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")))
 
 
-def _hash_bucket(h: Column) -> Column:
-    """One of 65,536 evenly filled buckets that keep the order of the hash."""
-    return F.substring(h, 1, 4)
+def _hash_bucket(h: Column, digits: int = PREFIXES[0]) -> Column:
+    """One of evenly filled buckets that keep the order of the hash."""
+    return F.substring(h, 1, digits)
 
 
 def hash_threshold(ids: DataFrame, key: str, seed: int, wanted: Column) -> Column:
     """The (hash, key) pair of the last of the ``wanted`` smallest rows, as a scalar.
 
-    ``wanted`` may use the column ``n_all``, the row count. Bucket counts (at most 65,536
-    rows) locate the one bucket the cut falls into; only that bucket is sorted.
+    ``wanted`` may use the column ``n_all``, the row count. Bucket counts (at most 65,536 rows a
+    step) locate the one bucket the cut falls into; each step cuts the bucket of the last one
+    65,536 times finer, so what is sorted in the end is a few rows however long the table.
     """
-    hashed = ids.select(F.col(key).alias("k"), hash_key(key, seed).alias("h"))
-    buckets = hashed.groupBy(_hash_bucket(F.col("h")).alias("b")).agg(F.count("*").alias("n"))
-    running = Window.orderBy("b")
-    everything = Window.partitionBy()
-    cut = (
-        buckets.withColumn("upto", F.sum("n").over(running))
-        .withColumn("n_all", F.sum("n").over(everything))
-        .withColumn("need", wanted.cast("long") - F.col("upto") + F.col("n"))
-        .filter((F.col("need") >= 1) & (F.col("need") <= F.col("n")))
-        .select("b", "need")
-    )
-    # `cut` holds one row at most: the bucket where the running count passes the wanted one.
-    inside = hashed.join(F.broadcast(cut), _hash_bucket(F.col("h")) == F.col("b"), "inner")
-    ranked = inside.withColumn("r", F.row_number().over(Window.partitionBy("b").orderBy("h", "k")))
+    rows = ids.select(F.col(key).alias("k"), hash_key(key, seed).alias("h"))
+    everything, need = Window.partitionBy(), None
+    for digits in PREFIXES:
+        buckets = rows.groupBy(_hash_bucket(F.col("h"), digits).alias("b"), *([] if need is None else ["need"])).agg(F.count("*").alias("n"))
+        sized = buckets.withColumn("upto", F.sum("n").over(Window.orderBy("b"))).withColumn("n_all", F.sum("n").over(everything))
+        left = (wanted.cast("long") if need is None else need) - F.col("upto") + F.col("n")
+        cut = sized.withColumn("left", left).filter((F.col("left") >= 1) & (F.col("left") <= F.col("n"))).select("b", "left")
+        # `cut` holds one row at most: the bucket where the running count passes the wanted one.
+        rows = rows.join(F.broadcast(cut), _hash_bucket(F.col("h"), digits) == F.col("b"), "inner")
+        rows, need = rows.select("k", "h", F.col("left").alias("need")), F.col("need")
+    ranked = rows.withColumn("r", F.row_number().over(Window.orderBy("h", "k")))
     return ranked.filter(F.col("r") == F.col("need")).select(F.struct("h", "k").alias("cut")).scalar()
 
 
@@ -72,16 +70,13 @@ def hash_rank(ids: DataFrame, key: str, seed: int, within: Sequence[str] = (), o
     )
 
 
-def ordered_index(df: DataFrame, key: str, n_rows: int, output: str = "idx") -> DataFrame:
+def ordered_index(df: DataFrame, key: str, output: str = "idx") -> DataFrame:
     """Append the 0-based position of a unique key in its natural order.
 
-    Small tables use one window. Larger ones are range partitioned, the placement is
-    written out so that it is fixed, and each part is numbered from its own offset.
+    Rows are range partitioned, the placement is written out so that it is fixed, and each
+    part is numbered from its own offset.
     """
-    if n_rows <= SINGLE_TASK_ROWS:
-        return df.withColumn(output, (F.row_number().over(Window.orderBy(key)) - 1).cast("long"))
-    parts = -(-n_rows // SINGLE_TASK_ROWS)
-    placed = materialize(df.repartitionByRange(parts, key).withColumn("_p", F.spark_partition_id()), "ordered")
+    placed = materialize(df.repartitionByRange(key).withColumn("_p", F.spark_partition_id()), "ordered")
     sizes = placed.groupBy("_p").agg(F.count("*").alias("_n"))
     offsets = sizes.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_before"))
     position = F.row_number().over(Window.partitionBy("_p").orderBy(key)) - 1

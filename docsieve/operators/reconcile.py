@@ -27,14 +27,20 @@ def merge_evaluations(parts: Sequence[DataFrame], key: str, tie: str) -> DataFra
 def reconcile(evaluations: DataFrame, predictions: DataFrame, key: str) -> DataFrame:
     """Evaluations (key, evaluated, old_pred, ...) and predictions (key, new_pred, ...) in one report.
 
-    ``origin`` tells whether the ID is in both, only evaluated or only predicted.
+    ``origin`` tells whether the ID is in both, only evaluated or only predicted. Strings of the
+    absent side read 'none' (factors read empty); a NULL of a side that is there stays NULL.
     """
     old = evaluations.withColumn("_old", F.lit(True))
     new = predictions.withColumn("_new", F.lit(True))
     joined = old.join(new, key, "full_outer")
     origin = F.when(F.col("_old").isNull(), "new only").when(F.col("_new").isNull(), "old only").otherwise("both")
-    texts = [c for c, kind in joined.dtypes if kind == "string" and c != key]
-    return joined.withColumn("origin", origin).drop("_old", "_new").fillna(MISSING, texts)
+    kinds, filled = dict(joined.dtypes), {}
+    for side, flag in ((evaluations, "_old"), (predictions, "_new")):
+        for c in side.columns:
+            if c != key and kinds[c] == "string":
+                absent = F.lit("" if c == "factors" else MISSING)
+                filled[c] = F.when(F.col(flag).isNull(), absent).otherwise(F.col(c))
+    return joined.withColumns({**filled, "origin": origin}).drop("_old", "_new")
 
 
 def reconcile_metrics(report: DataFrame) -> DataFrame:

@@ -1,8 +1,10 @@
-"""Stochastic gradient descent for linear classifiers, averaged over partitions.
+"""Stochastic gradient descent for linear classifiers, averaged over blocks of rows.
 
-Each epoch every partition runs plain sequential SGD on its own rows from the current
-weights; the results are averaged with the partitions' row counts as weights (parallel SGD,
-Zinkevich et al. 2010). Rows never leave their partition; only one number per feature does.
+A hash of its content deals each row to one of ``blocks`` blocks. Each epoch every block runs
+plain sequential SGD on its own rows, in an order hashed from the seed, from the current
+weights; the results are averaged with the blocks' row counts as weights (parallel SGD,
+Zinkevich et al. 2010). Blocks and order depend on the rows alone, so the model does not
+depend on how the table is partitioned. Rows move once; after that one number per feature does.
 """
 
 from __future__ import annotations
@@ -42,7 +44,7 @@ def _rate(schedule: str, eta0: float, alpha: float, loss: str, power: float) ->
         return lambda t: eta0 / t**power
     if schedule == "optimal":
         typical = np.sqrt(1.0 / np.sqrt(alpha))
-        first = typical / max(1.0, abs(SLOPES[loss](-typical)))
+        first = typical / max(1.0, SLOPES[loss](-typical))  # the signed slope, as the public rule has it
         start = 1.0 / (first * alpha)
         return lambda t: 1.0 / (alpha * (start + t - 1))
     raise ValueError(f"unknown learning rate {schedule!r}")
@@ -54,7 +56,7 @@ class AveragedSGD(Estimator, HasFeaturesCol, HasLabelCol):
     def __init__(
         self, loss: str = "hinge", penalty: str | None = "l2", alpha: float = 1e-4, l1_ratio: float = 0.15,
         eta0: float = 0.0, learning_rate: str = "optimal", power_t: float = 0.5, n_iter: int = 5,
-        shuffle: bool = True, seed: int = 0, weight: str | None = "weight", warm_start: WeightVectorModel | None = None,
+        shuffle: bool = True, seed: int = 0, weight: str | None = "weight", warm_start: WeightVectorModel | None = None, blocks: int = 8,
         features: str = "features", label: str = "label",
     ):
         super().__init__()
@@ -66,6 +68,7 @@ class AveragedSGD(Estimator, HasFeaturesCol, HasLabelCol):
         self.loss, self.l1, self.l2, self.alpha = loss, share[0] * alpha, share[1] * alpha, alpha
         self.eta0, self.learning_rate, self.power_t = eta0, learning_rate, power_t
         self.n_iter, self.shuffle, self.seed, self.weight, self.warm_start = n_iter, shuffle, seed, weight, warm_start
+        self.blocks = blocks
 
     def _fit(self, dataset: DataFrame) -> WeightVectorModel:
         vector = F.unwrap_udt(F.col(self.getFeaturesCol()))
@@ -73,7 +76,9 @@ class AveragedSGD(Estimator, HasFeaturesCol, HasLabelCol):
             vector["size"].alias("size"), vector["indices"].alias("indices"), vector["values"].alias("values"),
             (2.0 * F.col(self.getLabelCol()) - 1.0).alias("y"),
             (F.col(self.weight) if self.weight else F.lit(1.0)).cast("double").alias("s"),
-        ).persist(StorageLevel.MEMORY_AND_DISK)
+        ).withColumn("row", F.xxhash64("indices", "values", "y", "s"))
+        rows = rows.withColumn("block", F.pmod("row", F.lit(self.blocks)).cast("int"))
+        rows = rows.repartition(self.blocks, "block").persist(StorageLevel.MEMORY_AND_DISK)
         try:
             return self._run(rows)
         finally:
@@ -82,7 +87,7 @@ class AveragedSGD(Estimator, HasFeaturesCol, HasLabelCol):
     def _run(self, rows: DataFrame) -> WeightVectorModel:
         n, first = rows.count(), rows.select("size", F.size("values").alias("n")).first()
         size = first["size"] or first["n"]
-        per_part = max(1, n // rows.rdd.getNumPartitions())
+        per_block = max(1, n // self.blocks)
         w, b = np.zeros(size), 0.0
         if self.warm_start is not None:
             w = np.array(self.warm_start.getOrDefault("coefficients"))
@@ -90,7 +95,9 @@ class AveragedSGD(Estimator, HasFeaturesCol, HasLabelCol):
         for epoch in range(self.n_iter):
             context = rows.sparkSession.sparkContext
             start = context.broadcast((w, b))  # one number per kept term, checked when the features were fitted
-            parts = rows.mapInPandas(self._epoch(start, epoch * per_part, epoch), "idx long, value double, n long")
+            order = F.xxhash64(F.lit(self.seed + epoch if self.shuffle else self.seed), "row")
+            placed = rows.sortWithinPartitions("block", order, "row")
+            parts = placed.mapInPandas(self._epoch(start, epoch * per_block), "idx long, value double, n long")
             means = parts.groupBy("idx").agg((F.sum(F.col("value") * F.col("n")) / F.lit(n)).alias("v")).collect()
             w = np.zeros(size)
             for row in means:
@@ -101,20 +108,26 @@ class AveragedSGD(Estimator, HasFeaturesCol, HasLabelCol):
             start.destroy()
         return WeightVectorModel(self.getFeaturesCol(), w.tolist(), float(b))
 
-    def _epoch(self, start, seen: int, epoch: int):
+    def _epoch(self, start, seen: int):
         slope, rate = SLOPES[self.loss], _rate(self.learning_rate, self.eta0, self.alpha, self.loss, self.power_t)
-        l1, l2, shuffle, seed = self.l1, self.l2, self.shuffle, self.seed + epoch
+        l1, l2 = self.l1, self.l2
+
+        def result(v: np.ndarray, b: float, n: int) -> pd.DataFrame:
+            kept = np.flatnonzero(v)
+            return pd.DataFrame({"idx": np.append(kept, -1), "value": np.append(v[kept], b), "n": np.full(len(kept) + 1, n)})
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            v, b = np.array(start.value[0]), start.value[1]
-            scale, t, n = 1.0, seen, 0  # the weights are scale * v, so shrinking costs one product
-            owed, paid = 0.0, np.zeros(len(v)) if l1 else None
-            order = np.random.default_rng(seed)
+            block, v, b, scale, t, n, owed, paid = None, None, 0.0, 1.0, seen, 0, 0.0, None
             for batch in batches:
-                columns = [batch[c].to_numpy() for c in ("indices", "values", "y", "s")]
-                positions = order.permutation(len(batch)) if shuffle else range(len(batch))
-                for i in positions:
-                    index, x, y, s = (c[i] for c in columns)
+                columns = [batch[c].to_numpy() for c in ("block", "indices", "values", "y", "s")]
+                for i in range(len(batch)):
+                    own, index, x, y, s = (c[i] for c in columns)
+                    if own != block:
+                        if n:
+                            yield result(scale * v, b, n)
+                        # The weights are scale * v, so shrinking costs one product.
+                        block, v, b, scale, t, n = own, np.array(start.value[0]), start.value[1], 1.0, seen, 0
+                        owed, paid = 0.0, np.zeros(len(v)) if l1 else None
                     index = slice(None) if index is None else index
                     t, n = t + 1, n + 1
                     eta = rate(t)
@@ -136,11 +149,7 @@ class AveragedSGD(Estimator, HasFeaturesCol, HasLabelCol):
                         paid[index] += new - old
                         v[index] = new / scale
             if n:
-                w = scale * v
-                kept = np.flatnonzero(w)
-                yield pd.DataFrame(
-                    {"idx": np.append(kept, -1), "value": np.append(w[kept], b), "n": np.full(len(kept) + 1, n)}
-                )
+                yield result(scale * v, b, n)
 
         return run
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
+from inspect import signature
 from itertools import product
 from multiprocessing.pool import ThreadPool
 
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from docsieve.operators import evaluation, linear
 from docsieve.operators.analyzer import Analyzer, TextTerms
 from docsieve.operators.features import FeatureSpec, fit_features, plain_columns
-from docsieve.operators.models import ClassBalance, coefficients, with_confidence
+from docsieve.operators.models import ClassBalance, coefficients, make_f_scorer, with_confidence
 from docsieve.operators.sampling import TEST, TRAIN, split_exact, split_report, stratified_folds
 from docsieve.session import materialize
 
@@ -38,18 +39,13 @@ def random_seeds(given: Mapping[str, int | None]) -> dict[str, int]:
     return {name: random.randrange(1000) if seed is None else seed for name, seed in given.items()}
 
 
-# Vector rows one task works through per solver iteration; fewer would cost more in task starts.
-ROWS_PER_TASK = 10_000
-
-
 def _ready(vectors: DataFrame) -> DataFrame:
-    """Write vectors out and read them back in as few partitions as a solver needs.
+    """Write vectors out and read them back.
 
     Solvers run one job per step; with the texts and their expressions out of the lineage
     a step ships nothing but the weights.
     """
-    written = materialize(vectors, "vectors")
-    return written.coalesce(-(-max(1, written.count()) // ROWS_PER_TASK))
+    return materialize(vectors, "vectors")
 
 
 def _pick(candidate: Candidate, keys: Sequence[str]) -> Candidate:
@@ -88,9 +84,13 @@ class TextTuning:
     seeds: Mapping[str, int | None] = field(default_factory=lambda: {"split": None, "classifier": None})
     parallelism: int = 2
 
+    def __post_init__(self) -> None:
+        self._seed: int | None = None
+
     def fit(self, docs: DataFrame) -> TuningResult:
         """Tune on rows (key, text, label)."""
         seeds = random_seeds(self.seeds)
+        self._seed = seeds.get("classifier")
         split = split_exact(docs.select(self.key, self.text, "label"), self.key, self.test_fraction, seeds["split"])
         split = materialize(split, "split")
         train = split.filter(F.col("split") == TRAIN)
@@ -127,6 +127,9 @@ class TextTuning:
 
     def _classifier(self, candidate: Candidate) -> Estimator:
         options = {k: v for k, v in candidate.items() if k not in ANALYZER_KEYS + FEATURE_KEYS}
+        # Classifiers that draw random numbers take the run's seed; the others have no such parameter.
+        if self._seed is not None and "seed" in signature(self.classifier).parameters:
+            options.setdefault("seed", self._seed)
         return self.classifier(**options)
 
     def _score_fold(self, train, valid, lead, candidates, members) -> list[float]:
@@ -139,8 +142,7 @@ class TextTuning:
 
         def run(i: int) -> float:
             scored = self._classifier(candidates[i]).fit(ready_train).transform(ready_valid)
-            row = evaluation.metrics(evaluation.confusion_counts(scored), (self.beta,)).first()
-            return row[f"f{self.beta:g}"]
+            return make_f_scorer(self.beta).evaluate(scored)
 
         with ThreadPool(min(self.parallelism, len(members))) as pool:
             return pool.map(inheritable_thread_target(ready_train.sparkSession)(run), members)
@@ -204,7 +206,7 @@ class TuningResult:
         """One row for the run index."""
         test = self.metrics().filter(F.col("split") == TEST).first()
         return {
-            "ts": ts, "label": "PRF4,F1", "precision": test["precision"], "recall": test["recall"],
+            "ts": ts, "label": f"PRF{self.run.compare_beta:g},F1", "precision": test["precision"], "recall": test["recall"],
             "f4": test[f"f{self.run.compare_beta:g}"], "f1": test["f1"], "script": script,
             "split_seed": self.seeds["split"], "classifier_seed": self.seeds.get("classifier"),
             "params": {k: str(v) for k, v in self.fitted.candidate.items()},

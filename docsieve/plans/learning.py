@@ -108,7 +108,7 @@ def model_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     fitted.model.write().overwrite().save(path)
     loaded = PipelineModel.load(path)
     docs = m.documents(spark, folder).select("doc_id", "text")
-    docs = spread(docs, "doc_id", docs)
+    docs = spread(docs, "doc_id")
     scored = models.with_confidence(loaded.transform(docs), loaded)
     return scored.select("doc_id", F.col("prediction").cast("int").alias("prediction"), "confidence")
 

@@ -91,7 +91,7 @@ def labelled_documents(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, text, label) of the documents that have a quality label; label 1 is 'yes'."""
     labels = read_table(spark, folder, "labels").select("doc_id", F.col("quality").alias("label"))
     docs = documents(spark, folder).select("doc_id", "text")
-    return spread(docs.join(labels, "doc_id"), "doc_id", docs)
+    return spread(docs.join(labels, "doc_id"), "doc_id")
 
 
 SQL_TABLES = f"""
@@ -113,27 +113,28 @@ property AS (
   UNION ALL SELECT doc_id, {OBJECT_TYPE}, 12, CAST(toxic AS VARCHAR) FROM labels),
 term AS (SELECT * FROM (VALUES {_TERM_ROWS}) AS v(term_key, term)),
 users AS (SELECT r_regionkey AS user_key, r_name AS user_name FROM region),
+named AS (
+  SELECT object_key, min(accid) AS public_id FROM accession
+  WHERE object_type_key = {OBJECT_TYPE} AND source_key = {SOURCE} GROUP BY object_key),
 factor_list AS (
-  SELECT a.accid, string_agg(p.value, ' | ' ORDER BY p.value) AS factors
-  FROM property p, term t, accession a
-  WHERE p.term_key = t.term_key AND t.term = 'raw factor' AND p.object_type_key = {OBJECT_TYPE}
-    AND a.object_key = p.object_key AND a.object_type_key = {OBJECT_TYPE} AND a.source_key = {SOURCE}
-  GROUP BY a.accid),
+  SELECT public_id AS accid, array_to_string(list_sort(list(value)), ' | ') AS factors
+  FROM (SELECT object_key, value FROM property WHERE object_type_key = {OBJECT_TYPE}
+          AND term_key IN (SELECT term_key FROM term WHERE term = 'raw factor')) AS raw
+  INNER JOIN named USING (object_key)
+  GROUP BY public_id),
+described AS (
+  SELECT public_id AS exp_id, evaluation_state_key, evaluated_by_key, name AS title,
+         replace(replace(description, chr(9), ' '), chr(10), ' ') AS description
+  FROM experiment INNER JOIN named ON named.object_key = experiment.experiment_key),
 training AS (
-  SELECT a.accid AS exp_id, t.term AS eval_state, f.factors, e.name AS title,
-         translate(e.description, chr(9) || chr(10), '  ') AS description
-  FROM experiment e
-  JOIN accession a ON a.object_key = e.experiment_key AND a.source_key = {SOURCE}
-  JOIN term t ON e.evaluation_state_key = t.term_key
-  LEFT JOIN factor_list f ON f.accid = a.accid
-  WHERE t.term IN ('Yes', 'No') AND e.evaluated_by_key <> {LOADER}),
+  SELECT exp_id, state.term AS eval_state, factors, title, description
+  FROM (SELECT * FROM described WHERE evaluated_by_key IS NOT NULL AND NOT evaluated_by_key = {LOADER}) AS judged
+  INNER JOIN (SELECT * FROM term WHERE term = 'Yes' OR term = 'No') AS state ON state.term_key = evaluation_state_key
+  LEFT JOIN factor_list ON accid = exp_id),
 candidate AS (
-  SELECT a.accid AS exp_id, f.factors, e.name AS title,
-         translate(e.description, chr(9) || chr(10), '  ') AS description
-  FROM experiment e
-  JOIN accession a ON a.object_key = e.experiment_key AND a.source_key = {SOURCE}
-  LEFT JOIN factor_list f ON f.accid = a.accid
-  WHERE e.evaluation_state_key = 1)
+  SELECT exp_id, factors, title, description
+  FROM (SELECT * FROM described WHERE evaluation_state_key = 1) AS waiting
+  LEFT JOIN factor_list ON accid = exp_id)
 """
 
 

@@ -71,7 +71,7 @@ def linear_score(spark: SparkSession, folder: str) -> DataFrame:
     docs = _labelled(spark, folder)
     weights, intercept = bayes.linear_weights(_model(_train(docs)))
     plain = m.documents(spark, folder).select("doc_id", "text")
-    every = WORDS.terms(spread(plain, "doc_id", plain))
+    every = WORDS.terms(spread(plain, "doc_id"))
     values = ft.term_counts(every, ["doc_id"], keep_empty=True).withColumnRenamed("tf", "value")
     return _rounded(linear.linear_score(values, weights, intercept, "doc_id"), "confidence")
 
@@ -91,11 +91,10 @@ def _records(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
 def _candidate_scores(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     training, candidates = _records(spark, folder)
     # Extraction is several joins; both passes of the model read its written result.
-    scan = m.documents(spark, folder)
     training = materialize(training.select("exp_id", "label", "document"), "training")
     candidates = materialize(candidates, "candidates")
-    model = _model(WORDS.terms(spread(training, "exp_id", scan), "document"))
-    waiting = spread(candidates.select("exp_id", "document"), "exp_id", scan)
+    model = _model(WORDS.terms(spread(training, "exp_id"), "document"))
+    waiting = spread(candidates.select("exp_id", "document"), "exp_id")
     scored = bayes.score(model, WORDS.terms(waiting, "document"), ["exp_id"])
     return scored.withColumnRenamed("exp_id", "id"), candidates.withColumnRenamed("exp_id", "id")
 
@@ -182,7 +181,7 @@ def _evaluations_and_predictions(spark: SparkSession, folder: str) -> tuple[Data
     labels = read_table(spark, folder, "labels").select("doc_id", F.col("quality").alias("label"))
     known = sp.split_exact(labels, "doc_id", 0.5, OLD_SEED, "old_split")
     known = sp.split_exact(known, "doc_id", 0.5, NEW_SEED, "new_split")
-    every = WORDS.terms(spread(docs.join(known, "doc_id", "left"), "doc_id", docs)).drop("text")
+    every = WORDS.terms(spread(docs.join(known, "doc_id", "left"), "doc_id")).drop("text")
 
     evaluated = every.filter(F.col("label").isNotNull())
     old_train = evaluated.filter(F.col("old_split") == sp.TRAIN)

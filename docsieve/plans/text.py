@@ -21,7 +21,7 @@ MIN_DF, MAX_DF, MAX_FEATURES = 0.01, 0.8, 5000
 
 def _text(spark: SparkSession, folder: str) -> DataFrame:
     docs = m.documents(spark, folder).select("doc_id", "text")
-    return spread(docs, "doc_id", docs)
+    return spread(docs, "doc_id")
 
 
 def clean_text(spark: SparkSession, folder: str) -> DataFrame:

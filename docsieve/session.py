@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+SPREAD_CONF = "docsieve.spread"
 
 
 def build_session(name: str = "docsieve", **conf: object) -> SparkSession:
@@ -48,12 +49,10 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, key: str, scan: DataFrame) -> DataFrame:
-    """Give rows read from a small file enough partitions for CPU-heavy work on their texts.
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Deal rows out by key where the caller has set ``docsieve.spread`` to a number of partitions.
 
-    ``scan`` is the plain table scan behind ``df``; counting its splits runs nothing. When it
-    already has a split per core, as any large table does, ``df`` is returned as it is, so at
-    scale this adds no shuffle.
+    For tables of one row group, which no scan setting can split. Unset, as on a cluster, nothing moves.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if scan.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+    parts = df.sparkSession.conf.get(SPREAD_CONF, None)
+    return df.repartition(int(parts), key) if parts else df

@@ -140,12 +140,15 @@ def test_prepare_and_predict_jobs(spark, tmp_path):
     run.features = type(run.features)(1, 1.0)
     run.refit(docs, {"C": 1e-2}).model.write().overwrite().save(str(tmp_path / "model"))
     (tmp_path / "new.tsv").write_text(
-        "exp ID\tfactors\ttitle\tdescription\nA\tage\tembryo\tmutant\nB\tNone\tculture\tfibroblast\nC\t\tENCSR1\tx\n"
+        "exp ID\tfactors\ttitle\tdescription\nA\tage\tembryo\tmutant\nB\tNone\tculture\tfibroblast\nC\t\tENCSR1\tx\nbad\tline\n"
     )
-    scored = jobs.predict_records(
+    counts = jobs.predict_records(
         spark, str(tmp_path / "new.tsv"), str(tmp_path / "model"), str(tmp_path / "short"), Settings(), str(tmp_path / "long")
     )
-    assert {r["id"]: r["prediction"] for r in scored.collect()} == {"A": 1.0, "B": 0.0}
+    assert {r["kind"]: r["n_records"] for r in counts.collect()} == {"scored": 2, "skipped": 1, "quarantined": 1}
+    left_out = spark.read.parquet(str(tmp_path / "short-left-out")).collect()
+    assert {r["raw"].split("\t")[0]: r["kind"] for r in left_out} == {"C": "skipped", "bad": "quarantined"}
+    assert all(r["reason"] for r in left_out)
     text = "".join(p.read_text() for p in (tmp_path / "short").glob("part-*"))
-    assert "ID\tPred Class\tConfidence\tAbs Value" in text and "A\tyes\t" in text and "C\t" not in text
+    assert "ID\tPred Class\tConfidence\tAbs Value" in text and "A\tyes\t" in text and "C\t" not in text and "B\tno\t" in text
     assert "Processed Doc" in "".join(p.read_text() for p in (tmp_path / "long").glob("part-*"))

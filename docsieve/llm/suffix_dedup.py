@@ -38,7 +38,8 @@ from pyspark.sql import functions as F
 
 LENGTH = 100
 GRAM = 24  # bytes of a gram; LENGTH - GRAM + 1 of them are in a string
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
+SLAB_BYTES = 1 << 20  # of whole documents hashed at a time
 CHUNKS_A_TASK = 8
 FACTOR = 0x9E3779B97F4A7C15
 MARK, SENT = 0, 1
@@ -61,20 +62,18 @@ def _mixed(hashes: np.ndarray) -> np.ndarray:
 
 def _gram_hashes(text: np.ndarray, size: int = GRAM) -> np.ndarray:
     """A hash of the ``size`` bytes from each position on; polynomials of lengths that are powers of two, put together."""
-    known, power = {1: text.astype(np.uint64) + np.uint64(1)}, {1: FACTOR}
-    width = 1
-    while 2 * width <= size:
-        h = known[width]
-        known[2 * width] = h[:-width] * np.uint64(power[width]) + h[width:]
-        power[2 * width] = power[width] ** 2 % 2**64
+    part, power, width, whole, have = text.astype(np.uint64) + np.uint64(1), FACTOR, 1, None, 0
+    while True:
+        if size & width:
+            # Longer parts come first in the gram, so what is there already is moved behind this one.
+            n = len(text) - have - width + 1
+            whole = part if whole is None else part[:n] * np.uint64(pow(FACTOR, have, 2**64)) + whole[width : width + n]
+            have += width
+        if 2 * width > size:
+            return _mixed(whole)
+        part = part[:-width] * np.uint64(power) + part[width:]
+        power = power**2 % 2**64
         width *= 2
-    whole, at = known[width], width
-    while at < size:
-        width = max(w for w in known if w <= size - at)
-        n = len(text) - at - width + 1
-        whole = whole[:n] * np.uint64(power[width]) + known[width][at : at + n]
-        at += width
-    return _mixed(whole)
 
 
 def _least(values: np.ndarray, width: int) -> np.ndarray:
@@ -87,10 +86,10 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[: len(out) - rest], out[rest:]) if rest else out
 
 
-def representatives(text: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of string starts with one representative: first start, end (exclusive), the representative, and whether its gram is there twice."""
+def _slab(text: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """Runs of string starts with one representative in a slab of documents, and the grams that represent, with repeats."""
     if len(text) < length:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     grams, width = _gram_hashes(text), length - GRAM + 1
     least = _least(grams, width)
     inside = np.ones(len(least), dtype=bool)
@@ -103,11 +102,29 @@ def representatives(text: np.ndarray, ends: np.ndarray, length: int) -> tuple[np
     stops = np.append(starts[1:], len(least))
     real = inside[starts]
     starts, stops = starts[real], stops[real]
+    name = least[starts]
     # A gram represents if it equals the greatest of the leasts of the strings around it.
+    least[~inside] = 0
     edge = np.zeros(width - 1, dtype=np.uint64)
-    around = ~_least(~np.concatenate([edge, np.where(inside, least, np.uint64(0)), edge]), width)
-    found, counts = np.unique(grams[grams == around], return_counts=True)
-    name = least[starts]
+    around = ~_least(~np.concatenate([edge, least, edge]), width)
+    return starts, stops, name, grams[grams == around]
+
+
+def representatives(text: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of string starts with one representative: first start, end (exclusive), the representative, and whether its gram is there twice.
+
+    Documents are hashed in slabs of ``SLAB_BYTES``, or one at a time where they are longer.
+    """
+    parts, first, begin = [], 0, 0
+    for n, end in enumerate(ends):
+        if n + 1 == len(ends) or ends[n + 1] - begin > SLAB_BYTES:
+            starts, stops, name, grams = _slab(text[begin:end], ends[first : n + 1] - begin, length)
+            parts.append((starts + begin, stops + begin, name, grams))
+            first, begin = n + 1, end
+    if not parts:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)
+    starts, stops, name, grams = (np.concatenate(x) for x in zip(*parts, strict=True))
+    found, counts = np.unique(grams, return_counts=True)
     return starts, stops, _mixed(name), counts[np.searchsorted(found, name)] > 1 if len(name) else np.zeros(0, bool)
 
 
@@ -237,13 +254,19 @@ def _ranges(hashes: np.ndarray, ranges: int) -> np.ndarray:
 def _announce(batches: Iterator[pa.RecordBatch], length: int, ranges: int) -> Iterator[pa.RecordBatch]:
     """Step 1: the distinct representatives of each chunk, by range."""
     seen: dict[int, list[np.ndarray]] = {}
+    held: dict[int, list[bytes]] = {}
+
+    def settle(chunk: int) -> None:
+        texts = held.pop(chunk)
+        ends = np.cumsum([len(t) for t in texts])
+        name = representatives(np.frombuffer(b"".join(texts), dtype=np.uint8), ends, length)[2]
+        seen.setdefault(chunk, []).append(np.unique(name))
+
     for batch in batches:
-        chunks = batch.column("chunk").to_numpy()
-        for chunk in np.unique(chunks):
-            texts = [t for t, c in zip(batch.column("text").to_pylist(), chunks, strict=True) if c == chunk] if len(chunks) else []
-            ends = np.cumsum([len(t) for t in texts])
-            found = representatives(np.frombuffer(b"".join(texts), dtype=np.uint8), ends, length)[2]
-            seen.setdefault(int(chunk), []).append(np.unique(found))
+        for chunk, text in zip(batch.column("chunk").to_pylist(), batch.column("text"), strict=True):
+            held.setdefault(chunk, []).append(text.as_py())
+        for chunk in list(held):
+            settle(chunk)
     for chunk, parts in seen.items():
         hashes = np.unique(np.concatenate(parts))
         places = _ranges(hashes, ranges)
@@ -410,7 +433,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, chunk_bytes: int = CHUNK
     announced = texts.mapInArrow(lambda b: _announce(b, length, tasks), "key long, chunk long, data binary")
     shared = announced.repartition(tasks, "key").sortWithinPartitions("key").mapInArrow(_answer, "chunk long, data binary")
     found = texts.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(
-        lambda a, b: _search_chunk(a, b, length, tasks), ROWS
+        lambda a, b: _search_chunk(a, b, length, chunks), ROWS
     )
     marks = found.repartition(tasks, "key").sortWithinPartitions("key").mapInArrow(
         lambda b: _compare(b, length), "chunk long, doc long, version long, data binary"

@@ -115,8 +115,9 @@ def compare_splits(
     is a set of columns of the same aggregate, not a run of its own.
     """
     flags = [f"test_{s}" for s in seeds]
+    ids = docs.select(key)
     for seed, flag in zip(seeds, flags):
-        docs = split_exact(docs, key, fraction, seed, flag).withColumn(flag, F.col(flag) == TEST)
+        docs = split_exact(docs, key, fraction, seed, flag, ids).withColumn(flag, F.col(flag) == TEST)
     label, tf = F.col("label"), F.col("tf")
     classes = {"no": label == 0, "yes": label == 1}
     sizes = docs.agg(

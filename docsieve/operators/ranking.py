@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from docsieve.session import materialize
 
-# Hex digits of the hash that locate a cut, step by step; 16^12 buckets hold one row each for any table.
-PREFIXES = (4, 8, 12)
+# Hex digits of the hash that locate a cut, step by step; of 10^12 rows, 16^8 buckets hold some 200 each.
+PREFIXES = (4, 8)
 
 
 def hash_key(key: str, seed: int) -> Column:

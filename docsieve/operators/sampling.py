@@ -12,13 +12,16 @@ from docsieve.operators.ranking import hash_key, hash_rank, hash_threshold, with
 TRAIN, TEST = "train", "test"
 
 
-def split_exact(df: DataFrame, key: str, fraction: float, seed: int, output: str = "split") -> DataFrame:
+def split_exact(
+    df: DataFrame, key: str, fraction: float, seed: int, output: str = "split", ids: DataFrame | None = None
+) -> DataFrame:
     """Append train/test with exactly ceil(fraction * n) test rows, drawn in hash order.
 
-    Each row compares its own hash with one threshold, so no row moves.
+    Each row compares its own hash with one threshold, so no row moves. ``ids`` are the same rows
+    in a plainer form, for callers that add several splits to one table.
     """
     wanted = F.ceil(F.lit(float(fraction)) * F.col("n_all"))
-    threshold = hash_threshold(df.select(key), key, seed, wanted)
+    threshold = hash_threshold((df if ids is None else ids).select(key), key, seed, wanted)
     return df.withColumn(output, F.when(within_threshold(key, seed, threshold), TEST).otherwise(TRAIN))
 
 

@@ -21,6 +21,7 @@ def _stemmed(doc: Column) -> Column:
     return F.array_join(stem_words(tx.tokenize(_without_urls(doc))), " ")
 
 
+# The names that settings use.
 PREPROCESSORS: dict[str, Preprocessor] = {
     "printable": tx.printable_ascii,
     "vectorizer_preprocessor": _without_urls,

@@ -163,7 +163,7 @@ def confusion(spark, tp, fn, fp, tn):
 
 @pytest.mark.parametrize(
     "counts, expected",
-    [
+    [  # fixed values: published counts and their figures
         ((211, 10, 140, 280), {"precision": 0.601, "recall": 0.955, "f4": 0.923, "f1": 0.738}),
         ((1864, 2, 3027, 167), {"precision": 0.381108, "recall": 0.998928}),
         ((1489, 186, 1256, 1447), {"precision": 0.542441, "recall": 0.888955}),

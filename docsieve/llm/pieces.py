@@ -32,7 +32,7 @@ SPACE = "▁"  # fixed value: the sign that stands for a blank in pieces
 STEP = np.uint64(0x9E3779B97F4A7C15)  # an odd factor for polynomial hashes
 FILTER_BITS = 20
 NEVER = np.int64(2**62)
-BATCH_CHARS = 4_000_000  # code points segmented at a time
+BATCH_CHARS = 3_000_000  # code points segmented at a time
 
 
 @dataclass
@@ -309,25 +309,33 @@ def decode_ids(model: Model, ids: list[int] | np.ndarray | None) -> str:
     return decode_batch(model, own, np.array([len(own)]))[0]
 
 
-def _encode(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, list[str]]]:
+    """Rows with about BATCH_CHARS of text together, whatever the size of the batches they come in."""
+    held, texts, size = [], [], 0
     for batch in batches:
-        texts = [t or "" for t in batch.column("text").to_pylist()]
-        sizes, start = [len(t) for t in texts], 0
-        while start < len(texts):
-            end, total = start + 1, sizes[start]
-            while end < len(texts) and total + sizes[end] <= BATCH_CHARS:
-                total += sizes[end]
-                end += 1
-            ids, counts = encode_batch(model, texts[start:end])
-            offsets = np.append(0, np.cumsum(counts)).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))
-            part = batch.slice(start, end - start)
-            same = [a == b for a, b in zip(decode_batch(model, ids, counts), texts[start:end], strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [part.column("document"), part.column("doc_id"), lists, pa.array(counts), pa.array(same)],
-                ["document", "doc_id", "ids", "n_tokens", "round_trip"],
-            )
-            start = end
+        start = 0
+        for n, text in enumerate(batch.column("text").to_pylist()):
+            texts.append(text or "")
+            size += len(texts[-1])
+            if size >= BATCH_CHARS:
+                yield pa.Table.from_batches([*held, batch.slice(start, n + 1 - start)]), texts
+                held, texts, size, start = [], [], 0, n + 1
+        if start < batch.num_rows:
+            held.append(batch.slice(start))
+    if held:
+        yield pa.Table.from_batches(held), texts
+
+
+def _encode(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+    for rows, texts in _gathered(batches):
+        ids, counts = encode_batch(model, texts)
+        offsets = np.append(0, np.cumsum(counts)).astype(np.int32)
+        same = [a == b for a, b in zip(decode_batch(model, ids, counts), texts, strict=True)]
+        made = pa.table({
+            "document": rows.column("document"), "doc_id": rows.column("doc_id"),
+            "ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids)), "n_tokens": pa.array(counts), "round_trip": pa.array(same),
+        })
+        yield from made.to_batches()
 
 
 def encode(docs: DataFrame, model: Model) -> DataFrame:

@@ -16,7 +16,7 @@ from docsieve.llm.pieces import encode_texts, load_model
 from docsieve.llm.quality import quality
 from docsieve.llm.simhash import simhash
 from docsieve.llm.suffix_dedup import suffix_dedup
-from docsieve.llm.text import table
+from docsieve.llm.text import small_batches, table
 from docsieve.llm.topk import top_k
 from docsieve.llm.url_filter import url_filter
 
@@ -26,10 +26,12 @@ PIECE_MODEL = "piece_bpe_32k.model"
 
 
 def op1_lm_score(spark: SparkSession, folder: str) -> DataFrame:
+    small_batches(spark)
     return lm_scores(table(spark, folder, "documents"))
 
 
 def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    small_batches(spark)
     return simhash(table(spark, folder, "documents"))
 
 
@@ -44,11 +46,13 @@ def op4_top_k(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
+    small_batches(spark)
     scored = quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
     return scored.select("doc_id", "text_score", "site_score", "quality", "keep")
 
 
 def op6_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    small_batches(spark)
     return suffix_dedup(table(spark, folder, "documents")).drop("kept")
 
 
@@ -66,6 +70,7 @@ def op9_license_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op10_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    small_batches(spark)
     return encode_texts(table(spark, folder, "documents"), load_model(f"{TOKENIZERS}/{PIECE_MODEL}"))
 
 

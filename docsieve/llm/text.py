@@ -16,6 +16,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts are far longer than the rows that Spark's default Arrow batch of 10,000 is meant for: 1,000 at a time.
+
+    A number that the caller has set stays.
+    """
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(rows) == "10000":
+        spark.conf.set(rows, "1000")
+
+
 def packed(df: DataFrame, *columns: str) -> DataFrame:
     """The named columns, and every column of the row in one struct ``document``.
 

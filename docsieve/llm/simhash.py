@@ -238,12 +238,17 @@ def simhash(docs: DataFrame, distance: int = 2, width: int = 3) -> DataFrame:
     )
 
 
-def keep_first(docs: DataFrame, distance: int = 2, width: int = 3) -> DataFrame:
-    """One row of ``docs`` for each component, with all its columns: the smallest id, then the smallest hash of the text."""
-    own = materialize(fingerprints(docs, width), "prints")
-    heads = materialize(_grouped(own, distance).select("head.doc_id", "head.version").distinct(), "heads")
+def first_rows(docs: DataFrame, heads: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with the ``doc_id`` and ``version`` of ``heads``, with all their columns."""
     heads = heads.select(F.col("doc_id").alias("__id"), F.col("version").alias("__v"))
     same = docs["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__v"))
     # Rows that repeat an id and a text are one document.
     kept = docs.join(heads, same).dropDuplicates(["__id", "__v"])
     return kept.select(*[docs[f"`{c}`"] for c in docs.columns])
+
+
+def keep_first(docs: DataFrame, distance: int = 2, width: int = 3) -> DataFrame:
+    """One row of ``docs`` for each component, with all its columns: the smallest id, then the smallest hash of the text."""
+    own = materialize(fingerprints(docs, width), "prints")
+    heads = materialize(_grouped(own, distance).select("head.doc_id", "head.version").distinct(), "heads")
+    return first_rows(docs, heads)

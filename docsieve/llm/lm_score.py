@@ -5,9 +5,9 @@ Counts: every word of every training document (those with crc32 of the id mod 7
 where none of them can be hot, as none has more than 1/KNOWN of the tokens.
 
 Network: it knows the ``VOCABULARY`` most frequent words; all others are one class, inside which a word has its add-one
-unigram share, so the model gives every text over known and unknown words a proper probability. It is trained on a fixed
-part of the training documents, which grows with the corpus: in each of ``ROUNDS`` rounds every task trains on its own
-documents from the common weights, and the weights are averaged by a tree of tasks. Scoring carries the state from window
+unigram share, so the model gives every text over known and unknown words a proper probability. It is trained on every
+training document once: in each of ``ROUNDS`` rounds, one for each of ``PART`` parts, every task trains on its own documents
+of that part from the common weights, and the weights are averaged by a tree of tasks. Scoring carries the state from window
 to window over whole documents.
 
 Null or empty text: the end alone. Null ``doc_id``: the empty string's crc, so a training document. Rows with one id and
@@ -31,8 +31,8 @@ from docsieve.session import materialize
 
 KNOWN = 65_536  # words with counts in every task
 VOCABULARY = 4_096  # words of the network
-ROUNDS = 3
-PART = 40  # a round trains on one of so many parts of the training documents
+ROUNDS = 8
+PART = 8  # a round trains on one of so many parts of the training documents; as many rounds as parts cover them all
 END = b" "  # the end token: no word holds a blank
 HELD_OUT = (7, 2)
 COUNTER_WORDS = 300_000  # distinct words a task counts before it hands them on

@@ -1,4 +1,9 @@
-"""The corpus pipeline: documents through five operators, each stage written and read again as the next one's input."""
+"""The corpus pipeline: documents through five operators, each stage written and read again as the next one's input.
+
+All stages keep every column of their input and may get any extra ones, empty tables, rows that repeat and null ids. A null
+or empty text counts as a text without words: the classifier judges it by its site, line dedup leaves it as it is, SimHash
+gives it fingerprint zero (one of all such documents stays), it holds no benchmark item, and it encodes to no pieces.
+"""
 
 from __future__ import annotations
 
@@ -9,33 +14,38 @@ from pyspark.sql import functions as F
 
 from docsieve.llm.decontaminate import decontaminate
 from docsieve.llm.line_dedup import line_dedup
-from docsieve.llm.near import keep_first_near
 from docsieve.llm.pieces import encode_texts, load_model
 from docsieve.llm.quality import keep_good
 from docsieve.llm.queries import PIECE_MODEL, TOKENIZERS
+from docsieve.llm.simhash import keep_first
 from docsieve.llm.text import small_batches, table
 from docsieve.session import shared_dir
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier keeps."""
+    """Documents that the classifier keeps; rows with equal id and text are judged alike."""
     small_batches(spark)
     return keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, without the lines that others repeat; ``n_chars`` follows the text."""
+    """Every document, without the lines that others repeat; ``n_chars``, where there is one, follows the text."""
     done = line_dedup(docs)
     # A null text stays null: it has no line to lose.
     text = F.when(F.col("document.text").isNotNull(), F.col("kept"))
-    changed = {"text": text, "n_chars": F.coalesce(F.char_length(text), F.lit(0)).cast(docs.schema["n_chars"].dataType)}
+    changed = {"text": text}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.coalesce(F.char_length(text), F.lit(0)).cast(docs.schema["n_chars"].dataType)
     return done.select(*[changed.get(c, F.col(f"document.`{c}`")).alias(c) for c in docs.columns])
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the one with the smallest id."""
+    """One document of each group of linked fingerprints: the one with the smallest id, null ids last.
+
+    Shingle length (3 words) and bit distance (2) are those of the SimHash contract.
+    """
     small_batches(spark)
-    return keep_first_near(docs)
+    return keep_first(docs, distance=2, width=3)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docsieve.llm.graph import components
-from docsieve.llm.text import python_words
+from docsieve.llm.text import packed, python_words
 from docsieve.session import materialize
 
 SEED = 42
@@ -240,11 +240,12 @@ def simhash(docs: DataFrame, distance: int = 2, width: int = 3) -> DataFrame:
 
 def first_rows(docs: DataFrame, heads: DataFrame) -> DataFrame:
     """The rows of ``docs`` with the ``doc_id`` and ``version`` of ``heads``, with all their columns."""
-    heads = heads.select(F.col("doc_id").alias("__id"), F.col("version").alias("__v"))
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__v"))
+    named = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"))
+    own = packed(docs, "doc_id", "text").select(named.alias("name"), "document")
+    heads = heads.select(F.struct("doc_id", "version").alias("head"))
     # Rows that repeat an id and a text are one document.
-    kept = docs.join(heads, same).dropDuplicates(["__id", "__v"])
-    return kept.select(*[docs[f"`{c}`"] for c in docs.columns])
+    kept = own.join(heads, F.col("name").eqNullSafe(F.col("head"))).dropDuplicates(["name"])
+    return kept.select(*[F.col(f"document.`{c}`").alias(c) for c in docs.columns])
 
 
 def keep_first(docs: DataFrame, distance: int = 2, width: int = 3) -> DataFrame:

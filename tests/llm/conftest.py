@@ -43,5 +43,5 @@ def clashing(documents, odd):
     """The odd rows with extra columns named like the operators' own."""
     from pyspark.sql import functions as F
 
-    names = ("version", "fp", "chunk", "lines", "document", "words", "keep", "h1", "rank", "kept", "host", "n", "shingle")
+    names = ("__id", "__v", "name", "head", "version", "fp", "chunk", "lines", "document", "words", "keep", "h1", "rank", "kept", "host", "n", "shingle")
     return odd.select("*", *[F.lit(1).alias(n) for n in names])

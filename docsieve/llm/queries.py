@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docsieve.llm import oracles
+from docsieve.llm.conversations import damaged, repair_report
 from docsieve.llm.decontaminate import contaminated
 from docsieve.llm.licenses import license_scan
 from docsieve.llm.line_dedup import line_dedup
@@ -74,11 +75,17 @@ def op10_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return encode_texts(table(spark, folder, "documents"), load_model(f"{TOKENIZERS}/{PIECE_MODEL}"))
 
 
+def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    small_batches(spark)
+    turns = table(spark, folder, "conversations")
+    return repair_report(damaged(turns), turns)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_lm_score, op2_simhash, op3_line_dedup, op4_top_k, op5_quality, op6_suffix_dedup, op7_decontaminate, op8_url_filter,
-        op9_license_scan, op10_sentencepiece,
+        op9_license_scan, op10_sentencepiece, op13_conversation_repair,
     )
 }
 SQL = {

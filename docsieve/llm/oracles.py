@@ -102,3 +102,82 @@ held AS (
 SELECT doc_id, item_id, n AS n_shingles, n_found, round(n_found / n, 6) AS containment
 FROM counted JOIN total USING (item) WHERE n_found >= 0.8 * n
 """
+
+# A forward search over whole edit texts. ``way``: role initials that lead from one state of the pattern to another.
+CONVERSATION_REPAIR = r"""
+WITH RECURSIVE kinds AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, xor(4294967295, list_reduce(
+        list_concat([4294967295], list_transform(
+            string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''),
+            lambda c: CAST(ord(c) AS BIGINT))),
+        lambda crc, byte: list_reduce(list_concat([xor(crc, byte)], range(8)),
+            lambda x, i: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END)))) % 20 AS kind
+    FROM conversations
+), damaged AS (
+    SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+        CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+        unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS again
+    FROM kinds
+), ordered AS (
+    SELECT *, dense_rank() OVER (ORDER BY conv_id) AS c,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, again) AS n
+    FROM damaged
+), seen AS (
+    SELECT *, substr(role, 1, 1) AS initial, row_number() OVER (PARTITION BY c, role, text ORDER BY n) AS nth,
+        lag(substr(role, 1, 1)) OVER (PARTITION BY c ORDER BY n) AS before,
+        regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS final
+    FROM ordered
+), turns AS (
+    SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN nth > 1 THEN 'duplicate'
+        WHEN final NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault
+    FROM seen
+), way(p, r, q) AS (
+    VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)
+), lead(p, made, q) AS (
+    SELECT unnest([0, 1, 2, 3]), '', unnest([0, 1, 2, 3])
+    UNION ALL SELECT p, 'I', q FROM way WHERE r <> 's'
+    UNION ALL SELECT a.p, 'II', b.q FROM way a JOIN way b ON a.q = b.p AND a.r <> 's'
+), walk(c, n, state, best) AS (
+    SELECT DISTINCT c, CAST(0 AS BIGINT), 0, {'cost': CAST(0 AS BIGINT), 'edits': ''} FROM turns
+    UNION ALL
+    SELECT w.c, w.n + 1, e.q, min({
+        'cost': w.best.cost + 2 * length(l.made) + e.cost + CAST(e.edit <> 'D' AND t.fault = 'truncated' AS BIGINT),
+        'edits': w.best.edits || l.made || e.edit})
+    FROM walk w JOIN lead l ON l.p = w.state JOIN turns t ON t.c = w.c AND t.n = w.n + 1 JOIN (
+        SELECT unnest([0, 1, 2, 3]) AS p, 'D' AS edit, CAST(3 AS BIGINT) AS cost, '' AS r, unnest([0, 1, 2, 3]) AS q
+        UNION ALL SELECT p, 'K', 0, r, q FROM way
+        UNION ALL SELECT p, 'R', 2, r, q FROM way WHERE r <> 's'
+    ) e ON e.p = l.q AND (e.edit = 'D' OR t.fault NOT IN ('blank', 'duplicate')) AND (e.edit <> 'K' OR e.r = t.initial)
+    GROUP BY w.c, w.n, e.q
+), repaired AS (
+    SELECT w.c, min({'cost': w.best.cost + CASE state WHEN 1 THEN 4 WHEN 2 THEN 2 ELSE 0 END,
+        'edits': w.best.edits || CASE state WHEN 1 THEN 'II' WHEN 2 THEN 'I' ELSE '' END}) AS best
+    FROM walk w JOIN (SELECT c, max(n) AS n FROM turns GROUP BY c) m ON w.c = m.c AND w.n = m.n GROUP BY w.c
+), play(c, edits, k, n, state, edit, role, text) AS (
+    SELECT c, best.edits, 0, CAST(0 AS BIGINT), 0, 'D', '', '' FROM repaired
+    UNION ALL
+    SELECT c, edits, k + 1, after, coalesce((SELECT q FROM way WHERE p = state AND r = substr(made, 1, 1)), state), e, made, said
+    FROM (
+        SELECT y.c, y.edits, y.k, y.state, y.e, y.after,
+            CASE y.e WHEN 'D' THEN '' WHEN 'K' THEN t.role ELSE CASE WHEN y.state = 2 THEN 'assistant' ELSE 'user' END END AS made,
+            CASE y.e WHEN 'I' THEN '' ELSE t.text END AS said
+        FROM (
+            SELECT *, substr(edits, k + 1, 1) AS e, n + CAST(substr(edits, k + 1, 1) <> 'I' AS BIGINT) AS after
+            FROM play WHERE k < length(edits)
+        ) y JOIN turns t ON t.c = y.c AND t.n = greatest(y.after, 1)
+    )
+), written AS (
+    SELECT c, sha256(coalesce(string_agg(role || ':' || text, chr(10) ORDER BY k) FILTER (edit <> 'D'), '')) AS sha FROM play GROUP BY c
+), counted AS (
+    SELECT c, any_value(conv_id) AS conv_id, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps,
+        count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+        count(*) FILTER (fault = 'truncated') AS truncated,
+        count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal
+    FROM turns GROUP BY c
+)
+SELECT asked.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+    coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(best.cost, 0) AS cost,
+    coalesce(best.edits, '') AS audit, coalesce(sha, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) asked
+LEFT JOIN (counted JOIN repaired USING (c) JOIN written USING (c)) ON asked.conv_id IS NOT DISTINCT FROM counted.conv_id
+"""

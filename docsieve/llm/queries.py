@@ -90,5 +90,5 @@ QUERIES = {
 }
 SQL = {
     "op3_line_dedup": oracles.LINE_DEDUP, "op4_top_k": oracles.TOP_K, "op7_decontaminate": oracles.DECONTAMINATE,
-    "op9_license_scan": oracles.LICENSE_SCAN,
+    "op9_license_scan": oracles.LICENSE_SCAN, "op13_conversation_repair": oracles.CONVERSATION_REPAIR,
 }

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from docsieve.llm import oracles
 from docsieve.llm.conversations import damaged, repair_report
 from docsieve.llm.decontaminate import contaminated
+from docsieve.llm.html_text import main_text
 from docsieve.llm.licenses import license_scan
 from docsieve.llm.line_dedup import line_dedup
 from docsieve.llm.lm_score import lm_scores
@@ -75,6 +76,11 @@ def op10_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return encode_texts(table(spark, folder, "documents"), load_model(f"{TOKENIZERS}/{PIECE_MODEL}"))
 
 
+def op12_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    small_batches(spark)
+    return main_text(table(spark, folder, "pages"))
+
+
 def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
     small_batches(spark)
     turns = table(spark, folder, "conversations")
@@ -85,7 +91,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_lm_score, op2_simhash, op3_line_dedup, op4_top_k, op5_quality, op6_suffix_dedup, op7_decontaminate, op8_url_filter,
-        op9_license_scan, op10_sentencepiece, op13_conversation_repair,
+        op9_license_scan, op10_sentencepiece, op12_html_text, op13_conversation_repair,
     )
 }
 SQL = {

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docsieve.llm import oracles
+from docsieve.llm.alignment import alignment
 from docsieve.llm.conversations import damaged, repair_report
 from docsieve.llm.decontaminate import contaminated
 from docsieve.llm.html_text import main_text
@@ -25,6 +26,7 @@ from docsieve.llm.url_filter import url_filter
 # Where the public tokenizer files are; an environment variable names another folder.
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 PIECE_MODEL = "piece_bpe_32k.model"
+BYTE_MODEL = "byte_bpe_50k.json"
 
 
 def op1_lm_score(spark: SparkSession, folder: str) -> DataFrame:
@@ -76,6 +78,11 @@ def op10_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return encode_texts(table(spark, folder, "documents"), load_model(f"{TOKENIZERS}/{PIECE_MODEL}"))
 
 
+def op11_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    small_batches(spark)
+    return alignment(table(spark, folder, "documents"), f"{TOKENIZERS}/{BYTE_MODEL}", f"{TOKENIZERS}/{PIECE_MODEL}")
+
+
 def op12_html_text(spark: SparkSession, folder: str) -> DataFrame:
     small_batches(spark)
     return main_text(table(spark, folder, "pages"))
@@ -91,7 +98,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_lm_score, op2_simhash, op3_line_dedup, op4_top_k, op5_quality, op6_suffix_dedup, op7_decontaminate, op8_url_filter,
-        op9_license_scan, op10_sentencepiece, op12_html_text, op13_conversation_repair,
+        op9_license_scan, op10_sentencepiece, op11_alignment, op12_html_text, op13_conversation_repair,
     )
 }
 SQL = {

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from docsieve.plans import curation, learning, model, sampling, text
+from docsieve.plans import curation, learning, model, sampling, search, text
 
 FLAGSHIP = "prediction_tags"
-QUERIES = {**curation.QUERIES, **text.QUERIES, **sampling.QUERIES, **model.QUERIES, **learning.QUERIES}
-SQL = {**curation.SQL, **text.SQL, **sampling.SQL, **model.SQL}
+QUERIES = {**curation.QUERIES, **text.QUERIES, **sampling.QUERIES, **model.QUERIES, **search.QUERIES, **learning.QUERIES}
+SQL = {**curation.SQL, **text.SQL, **sampling.SQL, **model.SQL, **search.SQL}

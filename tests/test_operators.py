@@ -6,9 +6,10 @@ import math
 import numpy as np
 import pytest
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.linalg import Vectors
+from pyspark.ml.linalg import DenseVector, Vectors, VectorUDT
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docsieve.operators import bayes, evaluation, linear, models, ranking, reconcile, sampling, tuning
 from docsieve.operators import features as ft
@@ -334,6 +335,63 @@ def test_sgd_does_not_depend_on_partitions(vectors, penalty):
         assert math.isclose(other.getOrDefault("intercept"), fits[0].getOrDefault("intercept"), abs_tol=1e-12)
 
 
+def _slow_sgd(rows, blocks, size, loss, alpha, l1, l2, eta, epochs, seed):
+    """Row by row: ``rows`` are (hash, order by epoch, features, stored places, sign, weight)."""
+    slopes = {"hinge": lambda z: -1.0 if z <= 1 else 0.0, "log": lambda z: -1 / (1 + math.exp(z))}
+    w, b = np.zeros(size), 0.0
+    for epoch in range(epochs):
+        total, total_b = np.zeros(size), 0.0
+        for block in range(blocks):
+            v, c, owed, paid, own = w.copy(), b, 0.0, np.zeros(size), [r for r in rows if r[0] % blocks == block]
+            for _, _, x, seen, y, s in sorted(own, key=lambda r: (r[1][epoch], r[0])):
+                step = -eta * s * y * slopes[loss](y * (v @ x + c))
+                v = v * (1 - eta * l2) + step * x
+                c += step
+                owed += eta * l1
+                if l1:
+                    new = np.where(v > 0, np.maximum(0, v - owed - paid), np.minimum(0, v + owed - paid))
+                    paid[seen] += (new - v)[seen]
+                    v[seen] = new[seen]
+            total += len(own) * (v - w)
+            total_b += len(own) * (c - b)
+        w, b = w + total / len(rows), b + total_b / len(rows)
+    return w, b
+
+
+@pytest.mark.parametrize("loss, penalty", [("hinge", "l2"), ("log", "elasticnet"), ("hinge", "l1")])
+@pytest.mark.parametrize("blocks, lanes", [(1, 64), (7, 64), (7, 2)])
+def test_sgd_equals_one_row_at_a_time(spark, monkeypatch, loss, penalty, blocks, lanes):
+    from docsieve.operators import sgd
+
+    monkeypatch.setattr(sgd, "LANES", lanes)
+    rng = np.random.default_rng(blocks)
+    x = np.round(rng.normal(size=(60, 6)) * (rng.random((60, 6)) < 0.5), 3)
+    x[7] = 0
+    label = (x.sum(axis=1) + rng.normal(size=60) > 0).astype(int)
+    make = lambda i: Vectors.dense(x[i]) if i % 3 == 0 else Vectors.sparse(6, {j: float(v) for j, v in enumerate(x[i]) if v})
+    schema = T.StructType([T.StructField("features", VectorUDT()), T.StructField("label", T.IntegerType()), T.StructField("weight", T.DoubleType())])
+    df = spark.createDataFrame([(make(i), int(label[i]), float(1 + i % 4)) for i in range(60)], schema)
+    epochs, eta, alpha = 3, 0.05, 0.1
+    vector = F.unwrap_udt("features")
+    hashed = df.withColumn("row", F.xxhash64(vector["indices"], vector["values"], 2.0 * F.col("label") - 1.0, "weight"))
+    hashed = hashed.withColumn("orders", F.array(*[F.xxhash64(F.lit(5 + e), "row") for e in range(epochs)]))
+    rows = [(r["row"], r["orders"], r["features"].toArray(), (r["features"].toArray() != 0) | isinstance(r["features"], DenseVector), 2 * r["label"] - 1, r["weight"])
+            for r in hashed.collect()]
+    share = {"l2": (0, 1), "elasticnet": (0.15, 0.85), "l1": (1, 0)}[penalty]
+    want, want_b = _slow_sgd(rows, blocks, 6, loss, alpha, share[0] * alpha, share[1] * alpha, eta, epochs, 5)
+    model = AveragedSGD(loss, penalty, alpha, learning_rate="constant", eta0=eta, n_iter=epochs, seed=5, blocks=blocks).fit(df.repartition(3))
+    assert np.allclose(model.getOrDefault("coefficients"), want, atol=1e-10)
+    assert math.isclose(model.getOrDefault("intercept"), want_b, abs_tol=1e-10)
+
+
+def test_sgd_blocks_grow_with_the_rows(spark, vectors):
+    """Blocks follow the number of rows and come from more than one task."""
+    run = AveragedSGD(seed=1, block_rows=4)
+    fits = [run.fit(vectors.repartition(n)) for n in (1, 9)]
+    assert np.allclose(*[m.getOrDefault("coefficients") for m in fits], atol=1e-12)
+    assert _accuracy(fits[0].transform(vectors)) > 0.8
+
+
 def test_tuner_seed_and_beta_zero(spark, corpus):
     run = _tuning(AveragedSGD, {"loss": ["hinge"]})
     run._seed = 41

@@ -63,8 +63,8 @@ def outcome(truth: Column, predicted: Column) -> Column:
 
 
 def confidence_text(value: Column) -> Column:
-    """Fixed-width confidence as it is written to prediction files."""
-    return F.format_string("%6.3f", value)
+    """Fixed-width confidence as it is written to prediction files; NULL without one."""
+    return F.when(value.isNotNull(), F.format_string("%6.3f", value))
 
 
 def run_stamp(ts: Column) -> Column:

@@ -1,19 +1,22 @@
-"""The two batch jobs: prepare a training corpus, and score a file of records."""
+"""The three batch jobs: prepare a training corpus, tune a pipeline on it, and score a file of records."""
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docsieve.config import Settings
+from docsieve.config import CLASS_NAMES, POSITIVE_INDEX, Settings
 from docsieve.functions.documents import build_document, reject_reason
 from docsieve.functions.preprocess import preprocess
 from docsieve.operators.models import has_margin, with_confidence
+from docsieve.operators.tuning import TextTuning, TuningResult
 from docsieve.session import materialize
-from docsieve.sources.corpus import write_corpus
+from docsieve.sources.corpus import read_corpus, write_corpus
 from docsieve.sources.records import parse_records, read_lines, require_known_class, without_header
-from docsieve.sources.sinks import write_predictions
+from docsieve.sources.sinks import record_run, write_predictions, write_split_predictions
 
 # Fixed value: the first header word of record files.
 HEADER = "exp ID"
@@ -48,6 +51,35 @@ def prepare_training(spark: SparkSession, path: str, output: str, settings: Sett
     return records.groupBy(outcome(F.col("class_name"))).agg(F.count("*").alias("n_records"))
 
 
+def labelled_corpus(spark: SparkSession, path: str) -> DataFrame:
+    """(id, text, label) of a prepared corpus."""
+    label = F.col("class_name") == CLASS_NAMES[POSITIVE_INDEX]
+    return read_corpus(spark, path).select("id", "text", label.cast("int").alias("label"))
+
+
+def tune(
+    spark: SparkSession, corpus: str, output: str, run: TextTuning, settings: Settings, run_id: str, script: str = "tune"
+) -> TuningResult:
+    """Tune ``run`` on a prepared corpus and write all that a run leaves.
+
+    Under ``output``: the fitted chain (``model-<run_id>``), the report as text (``report-<run_id>``), the tagged predictions by split
+    (``<prediction_prefix>-<run_id>``), and one row of the run index (``index_table``). Everything is named by the run, so a
+    run that is done again replaces what it left and adds nothing. F-betas, test share and folds come from the settings.
+    """
+    run = replace(
+        run, key="id", text="text", beta=settings.grid_beta, compare_beta=settings.compare_beta,
+        test_fraction=settings.test_fraction, folds=settings.folds,
+    )
+    result = run.fit(labelled_corpus(spark, corpus))
+    result.fitted.model.write().overwrite().save(f"{output}/model-{run_id}")
+    report = spark.createDataFrame([(result.render(),)], "value string")
+    report.coalesce(1).write.mode("overwrite").text(f"{output}/report-{run_id}")
+    write_split_predictions(result.predictions, f"{output}/{settings.prediction_prefix}-{run_id}")
+    # The index comes last: a run that is listed there is complete.
+    record_run(spark, f"{output}/{settings.index_table}", run_id, result.index_row(script, result.ended))
+    return result
+
+
 def predict_records(
     spark: SparkSession, path: str, model_path: str, output: str, settings: Settings, long_output: str | None = None
 ) -> DataFrame:

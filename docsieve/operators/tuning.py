@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
+from datetime import UTC, datetime
 from inspect import signature
 from itertools import product
 from multiprocessing.pool import ThreadPool
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from docsieve.operators import evaluation, linear
 from docsieve.operators.analyzer import Analyzer, TextTerms
-from docsieve.operators.features import FeatureSpec, fit_features, plain_columns
+from docsieve.operators.features import FeatureSpec, fit_features, plain_columns, vocabulary_slices
 from docsieve.operators.models import ClassBalance, coefficients, make_f_scorer, with_confidence
 from docsieve.operators.sampling import TEST, TRAIN, split_exact, split_report, stratified_folds
 from docsieve.session import materialize
@@ -88,19 +89,24 @@ class TextTuning:
         self._seed: int | None = None
 
     def fit(self, docs: DataFrame) -> TuningResult:
-        """Tune on rows (key, text, label)."""
+        """Tune on rows (key, text, label).
+
+        Splits and folds are drawn from keys and labels alone; texts join the folds once.
+        """
+        started = datetime.now(UTC)
         seeds = random_seeds(self.seeds)
         self._seed = seeds.get("classifier")
         split = split_exact(docs.select(self.key, self.text, "label"), self.key, self.test_fraction, seeds["split"])
         split = materialize(split, "split")
         train = split.filter(F.col("split") == TRAIN)
-        scores = self.cross_validate(stratified_folds(train, self.key, "label", self.folds, seeds["split"]))
+        folds = materialize(stratified_folds(train.select(self.key, "label"), self.key, "label", self.folds, seeds["split"]), "folds")
+        scores = self.cross_validate(train.select(self.key, self.text).join(folds, self.key))
         best = max(range(len(scores)), key=lambda i: scores[i][1])
         fitted = self.refit(train, scores[best][0])
         scored = with_confidence(fitted.model.transform(split), fitted.model)
         columns = [self.key, "split", "label", F.col("prediction").cast("int").alias("prediction"), "confidence"]
         predictions = materialize(scored.select(*columns), "predictions")
-        return TuningResult(self, seeds, scores, best, fitted, predictions)
+        return TuningResult(self, seeds, scores, best, fitted, predictions, started, datetime.now(UTC))
 
     def cross_validate(self, folded: DataFrame) -> list[tuple[Candidate, float, list[float]]]:
         """(candidate, mean score, fold scores) for every grid point, in grid order."""
@@ -169,6 +175,8 @@ class TuningResult:
     best: int
     fitted: FittedPipeline
     predictions: DataFrame
+    started: datetime
+    ended: datetime
 
     def grid_table(self) -> DataFrame:
         """(candidate, params, mean_score, min_score, max_score, is_best)."""
@@ -212,21 +220,53 @@ class TuningResult:
             "params": {k: str(v) for k, v in self.fitted.candidate.items()},
         }
 
+    def confusion(self) -> DataFrame:
+        return evaluation.confusion_matrix(self.predictions, ["split"])
+
+    def vocabulary_parts(self, k: int = 10) -> DataFrame:
+        """First, middle and last ``k`` terms of the vocabulary."""
+        rows = [(i, t) for i, t in enumerate(self.fitted.vocabulary)]
+        return vocabulary_slices(self.predictions.sparkSession.createDataFrame(rows, "idx long, term string"), k)
+
+    def options(self) -> DataFrame:
+        """(option, values): what the grid tried for each option."""
+        tried: dict[str, list[str]] = {}
+        for candidate, *_ in self.scores:
+            for name, value in candidate.items():
+                if str(value) not in tried.setdefault(name, []):
+                    tried[name].append(str(value))
+        rows = [(name, ", ".join(values)) for name, values in tried.items()]
+        return self.predictions.sparkSession.createDataFrame(rows, "option string, values string")
+
+    def steps(self) -> DataFrame:
+        """(step, stage, params): the fitted chain in order, without its learned values."""
+        learned = ("coefficients", "vocabulary", "scalingVec", "classes", "weights")
+        rows = []
+        for i, stage in enumerate(self.fitted.model.stages):
+            held = {p.name: str(v) for p, v in stage.extractParamMap().items() if p.name not in learned}
+            rows.append((i, type(stage).__name__, held))
+        return self.predictions.sparkSession.createDataFrame(rows, "step int, stage string, params map<string,string>")
+
+    def report(self) -> dict[str, DataFrame]:
+        """The parts of the report; every part is a small table by construction."""
+        parts = {
+            "Metrics": self.metrics(), "Confusion matrix": self.confusion(), "Options tried": self.options(), "Grid": self.grid_table(),
+            "Pipeline": self.steps(), "Errors": self.errors(), "Split": self.split_report(), "Vocabulary": self.vocabulary_parts(),
+        }
+        top = self.top_features()
+        return parts if top is None else {**parts, "Top features": top.orderBy("kind", "rank")}
+
     def render(self) -> str:
-        """The report as text; every part is a small table by construction."""
-        parts: list[tuple[str, DataFrame]] = [
-            ("Metrics", self.metrics()), ("Grid", self.grid_table()), ("Errors", self.errors()),
-            ("Split", self.split_report()),
+        """The report as text."""
+        lines = [
+            f"Start: {self.started:%Y/%m/%d-%H-%M-%S}", f"Seeds: {self.seeds}", f"Best parameters: {self.fitted.candidate}",
+            f"Number of features: {len(self.fitted.vocabulary)}",
         ]
-        top = self.top_features()
-        if top is not None:
-            parts.append(("Top features", top.orderBy("kind", "rank")))
-        lines = [f"Seeds: {self.seeds}", f"Best parameters: {self.fitted.candidate}", f"Number of features: {len(self.fitted.vocabulary)}"]
-        for title, table in parts:
+        for title, table in self.report().items():
             lines.append(f"\n### {title}")
             lines.append("\t".join(table.columns))
             lines += ["\t".join(str(v) for v in row) for row in table.collect()]
-        return "\n".join(lines)
+        return "\n".join([*lines, f"\nEnd: {self.ended:%Y/%m/%d-%H-%M-%S}"])
 
 
 def compare_pipelines(

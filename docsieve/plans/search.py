@@ -2,17 +2,26 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docsieve.operators import descent, grid
+from docsieve import jobs
+from docsieve.config import Settings
+from docsieve.functions.documents import class_name
+from docsieve.operators import descent, grid, models
 from docsieve.operators import features as ft
 from docsieve.operators.analyzer import Analyzer
+from docsieve.operators.features import FeatureSpec
+from docsieve.operators.tuning import TextTuning
 from docsieve.plans import mapping as m
 from docsieve.plans.model import MAX_DF, MIN_DF
 from docsieve.plans.sampling import FRACTION, SPLIT_SEED, sql_order, sql_split
 from docsieve.plans.text import sql_counts, sql_tokens
-from docsieve.session import materialize, spread
+from docsieve.session import materialize, shared_dir, spread
+from docsieve.sources import sinks
+from docsieve.sources.corpus import write_corpus
 from docsieve.sources.tables import read_table
 
 WORDS = Analyzer()
@@ -28,6 +37,7 @@ MODELS = (
 )
 COSTS = tuple(10.0 ** (n / 2) for n in range(-8, 4))
 GRID_STEPS = 4
+JOB_MIN_DF = (0.01, 0.03)
 
 
 def _labels(spark: SparkSession, folder: str) -> DataFrame:
@@ -117,7 +127,25 @@ def descent_grid(spark: SparkSession, folder: str) -> DataFrame:
     ])
 
 
-QUERIES = {f.__name__: f for f in (grid_search_bayes, grid_fold_scores, descent_weights, descent_scores, descent_grid)}
+def tuning_job(spark: SparkSession, folder: str) -> DataFrame:
+    """The tuning job on a prepared corpus, read back: outcomes by split from the prediction tables, scores from the run index."""
+    place = f"{shared_dir(spark)}/tuning-{uuid.uuid4().hex}"
+    texts = m.documents(spark, folder).select("doc_id", "text").join(_labels(spark, folder), "doc_id")
+    write_corpus(texts.select(F.col("doc_id").cast("string").alias("id"), class_name(F.col("label")).alias("class_name"), "text"), f"{place}/corpus")
+    run = TextTuning(
+        models.naive_bayes, {"kind": ["multinomial"], "min_df": list(JOB_MIN_DF)}, analyzer=WORDS,
+        features=FeatureSpec(MIN_DF, MAX_DF, None, "count", None), balanced=False, seeds={"split": SPLIT_SEED, "classifier": 1},
+    )
+    jobs.tune(spark, f"{place}/corpus", place, run, Settings(folds=FOLDS, test_fraction=FRACTION), "job", "tuning_job")
+    runs = sinks.read_runs(spark, f"{place}/{Settings().index_table}").select(
+        "run_id", F.element_at("params", "min_df").alias("min_df"), *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1", "f4")]
+    )
+    tags = spark.read.parquet(f"{place}/{Settings().prediction_prefix}-job")
+    counted = tags.groupBy("split").agg(*[F.count_if(F.col("tag") == t).alias(t.lower()) for t in ("TP", "FP", "TN", "FN")])
+    return counted.withColumn("run_id", F.lit("job")).join(F.broadcast(runs), "run_id")  # one row per run
+
+
+QUERIES = {f.__name__: f for f in (grid_search_bayes, grid_fold_scores, descent_weights, descent_scores, descent_grid, tuning_job)}
 
 # In SQL every point, fold and model is a row of its own.
 _LAB = f"""
@@ -128,9 +156,8 @@ dealt AS (
   FROM pick),
 lab AS (SELECT doc_id, text, label, CAST(fold AS INTEGER) AS fold FROM documents JOIN dealt USING (doc_id)),
 {sql_tokens('lab', 'doc_id, label, fold')}, {sql_counts('doc_id, label, fold')}"""
-_POINTS = ", ".join(
-    f"({i}, {p.alpha}, {p.min_df}, {p.max_df}, {str(p.balanced).lower()})" for i, p in enumerate(grid.points(GRID))
-)
+def _points(points: list[grid.Point]) -> str:
+    return ", ".join(f"({i}, {p.alpha}, {p.min_df}, {p.max_df}, {str(p.balanced).lower()})" for i, p in enumerate(points))
 
 
 def _ratio(part: str, whole: str) -> str:
@@ -156,8 +183,12 @@ _TABLE = """
        round(mean_score, 6) AS mean_score, round(min_score, 6) AS min_score, round(max_score, 6) AS max_score, is_best,
        CASE WHEN is_best THEN round(precision, 6) END AS test_precision, CASE WHEN is_best THEN round(recall, 6) END AS test_recall,
        CASE WHEN is_best THEN round(f1, 6) END AS test_f1, CASE WHEN is_best THEN round(f4, 6) END AS test_f4"""
-_BAYES = f"""WITH {_LAB},
-point(candidate, alpha, min_df, max_df, balanced) AS (VALUES {_POINTS}),
+
+
+def _sql_bayes(points: list[grid.Point], prior: int = 0) -> str:
+    """CTEs up to scored and ranked; ``prior`` is added to the class sizes that the prior is made of."""
+    return f"""WITH {_LAB},
+point(candidate, alpha, min_df, max_df, balanced) AS (VALUES {_points(points)}),
 size AS (
   SELECT r.f, count(*) AS n, count(*) FILTER (label = 0) AS d_no, count(*) FILTER (label = 1) AS d_yes
   FROM dealt JOIN (SELECT unnest(range({FOLDS + 1})) AS f) r ON fold <> r.f AND fold < {FOLDS} GROUP BY r.f),
@@ -174,10 +205,14 @@ odds AS (
 total AS (
   SELECT candidate, doc_id, sum(tf * w) AS s FROM cnt JOIN odds ON odds.term = cnt.term AND odds.f = cnt.fold GROUP BY candidate, doc_id),
 judged AS (
-  SELECT p.candidate, d.fold, d.label, coalesce(s, 0) > CASE WHEN balanced THEN 0 ELSE ln(d_no::DOUBLE) - ln(d_yes::DOUBLE) END AS hit
+  SELECT p.candidate, d.fold, d.label,
+         coalesce(s, 0) > CASE WHEN balanced THEN 0 ELSE ln(d_no::DOUBLE + {prior}) - ln(d_yes::DOUBLE + {prior}) END AS hit
   FROM dealt d CROSS JOIN point p JOIN size ON size.f = d.fold LEFT JOIN total t ON t.candidate = p.candidate AND t.doc_id = d.doc_id),
 {_METRICS}"""
 
+
+_BAYES = _sql_bayes(grid.points(GRID))
+_JOB = _sql_bayes([grid.Point(1.0, x, MAX_DF) for x in JOB_MIN_DF], 1)
 _N = f"(SELECT count(*) FROM dealt WHERE fold < {FOLDS})"
 _VALUES = f"""{_LAB},
 freq AS (
@@ -226,6 +261,19 @@ SQL = {
     "grid_fold_scores": f"""{_BAYES}
         SELECT candidate, fold, tp, fp, tn, fn, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1,
                round(f4, 6) AS f4 FROM scored""",
+    "tuning_job": f"""{_JOB},
+        chosen AS (SELECT candidate, p.min_df FROM ranked JOIN point p USING (candidate) WHERE is_best),
+        fitted AS (SELECT term, w FROM odds JOIN chosen USING (candidate) WHERE f = {FOLDS}),
+        sums AS (SELECT doc_id, sum(tf * w) AS s FROM cnt JOIN fitted USING (term) GROUP BY doc_id),
+        outcome AS (
+          SELECT CASE WHEN fold = {FOLDS} THEN 'test' ELSE 'train' END AS split, label,
+                 coalesce(s, 0) > (SELECT ln(d_no::DOUBLE + 1) - ln(d_yes::DOUBLE + 1) FROM size WHERE f = {FOLDS}) AS hit
+          FROM dealt LEFT JOIN sums USING (doc_id))
+        SELECT 'job' AS run_id, split, count(*) FILTER (label = 1 AND hit) AS tp, count(*) FILTER (label = 0 AND hit) AS fp,
+               count(*) FILTER (label = 0 AND NOT hit) AS tn, count(*) FILTER (label = 1 AND NOT hit) AS fn,
+               any_value(CAST(min_df AS VARCHAR)) AS min_df, any_value(round(precision, 6)) AS precision,
+               any_value(round(recall, 6)) AS recall, any_value(round(f1, 6)) AS f1, any_value(round(f4, 6)) AS f4
+        FROM outcome CROSS JOIN chosen JOIN scored t ON t.candidate = chosen.candidate AND t.fold = {FOLDS} GROUP BY split""",
     "descent_weights": f"{_MODELS} SELECT model, term, round(w, 6) AS weight FROM w{STEPS}",
     "descent_scores": f"""{_MODELS}
         SELECT doc_id, label, model, round(sum(value * w), 6) AS confidence, CAST(sum(value * w) > 0 AS INTEGER) AS prediction

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -61,13 +63,25 @@ RUN_SCHEMA = (
 )
 
 
+def record_run(spark: SparkSession, path: str, run_id: str, row: dict[str, object]) -> None:
+    """Put one run into the index table; ``f1`` may be missing.
+
+    A run has a folder of its own, named by its id and put in place when the write is committed, so writing a run again
+    replaces it, and runs that end at the same time do not meet.
+    """
+    if not run_id.replace("-", "").replace("_", "").isalnum():
+        raise ValueError(f"a run id has letters, digits, - and _ only: {run_id!r}")
+    spark.createDataFrame([row], RUN_SCHEMA).coalesce(1).write.mode("overwrite").parquet(f"{path}/run_id={run_id}")
+
+
 def append_run(spark: SparkSession, path: str, row: dict[str, object]) -> None:
-    """Append one run to the index table; ``f1`` may be missing."""
-    spark.createDataFrame([row], RUN_SCHEMA).write.mode("append").parquet(path)
+    """Put one run into the index table under a new id."""
+    record_run(spark, path, uuid.uuid4().hex, row)
 
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(RUN_SCHEMA).parquet(path)
+    """All runs of the index with their ``run_id``."""
+    return spark.read.schema(f"{RUN_SCHEMA}, run_id string").parquet(path)
 
 
 def parse_run_lines(lines: DataFrame) -> DataFrame:

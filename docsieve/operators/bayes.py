@@ -105,6 +105,65 @@ def score(model: BayesModel, docs: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
+# Share of the greatest variance of a term that is added to every variance.
+VARIANCE_FLOOR = 1e-9
+
+
+@dataclass(frozen=True)
+class GaussianModel:
+    """Per-term moments (term, mean_no, mean_yes, var_no, var_yes) and the class parts of the score."""
+
+    table: DataFrame
+    base_no: float
+    base_yes: float
+
+
+def _density(x: Column, c: str) -> Column:
+    """Log of the normal density of a term's count in class ``c``."""
+    away = x - F.col(f"mean_{c}")
+    return F.lit(-0.5) * F.log(F.lit(2.0) * F.pi() * F.col(f"var_{c}")) - away * away / (F.lit(2.0) * F.col(f"var_{c}"))
+
+
+def fit_gaussian(train: DataFrame, min_df: float | int = 1, max_df: float | int = 1.0, floor: float = VARIANCE_FLOOR) -> GaussianModel:
+    """Fit on rows (label, terms): sums and squares by term and class in one aggregate, zeros counted by division.
+
+    A class without rows has no moments; its means and variances are those of an empty class, zero and the floor.
+    """
+    n_no, n_yes = _class_sizes(train)
+    n, tf = n_no + n_yes, F.col("tf").cast("double")
+    classes = {"no": (F.col("label") == 0, max(n_no, 1)), "yes": (F.col("label") == 1, max(n_yes, 1))}
+    counted = ft.term_counts(train, ["label"]).groupBy("term").agg(
+        F.count("*").alias("df"),
+        *[F.coalesce(F.sum(F.when(test, x)), F.lit(0.0)).alias(f"{name}_{c}") for c, (test, _) in classes.items() for name, x in (("s", tf), ("q", tf * tf))],
+    )
+    moments = materialize(ft.prune(counted, n, min_df, max_df), "nb-moments")
+    mean = (F.col("s_no") + F.col("s_yes")) / F.lit(max(n, 1))
+    widest = moments.agg(F.max((F.col("q_no") + F.col("q_yes")) / F.lit(max(n, 1)) - mean * mean)).first()[0] or 0.0
+    own = {c: F.col(f"s_{c}") / F.lit(size) for c, (_, size) in classes.items()}
+    table = materialize(moments.select("term", *[m.alias(f"mean_{c}") for c, m in own.items()], *[
+        (F.greatest(F.col(f"q_{c}") / F.lit(size) - own[c] * own[c], F.lit(0.0)) + F.lit(floor * widest)).alias(f"var_{c}")
+        for c, (_, size) in classes.items()
+    ]), "nb-gaussian")
+    # A document without any kept term: every density at zero.
+    absent = table.agg(*[F.coalesce(F.sum(_density(F.lit(0.0), c)), F.lit(0.0)) for c in classes]).first()
+    prior = [math.log(size / n) if size else -math.inf for size in (n_no, n_yes)]
+    return GaussianModel(table, prior[0] + absent[0], prior[1] + absent[1])
+
+
+def score_gaussian(model: GaussianModel, docs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, score_no, score_yes, confidence, prediction): present terms replace their density at zero."""
+    counts = ft.term_counts(docs, keys, keep_empty=True).join(model.table, "term", "left")
+    x = F.col("tf").cast("double")
+    sums = counts.groupBy(*keys).agg(*[F.sum(_density(x, c) - _density(F.lit(0.0), c)).alias(f"s_{c}") for c in ("no", "yes")])
+    no, yes = (F.coalesce(F.col(f"s_{c}"), F.lit(0.0)) + F.lit(b) for c, b in (("no", model.base_no), ("yes", model.base_yes)))
+    return sums.select(*keys, no.alias("score_no"), yes.alias("score_yes")).withColumns(
+        {
+            "confidence": F.col("score_yes") - F.col("score_no"),
+            "prediction": (F.col("score_yes") > F.col("score_no")).cast("int"),
+        }
+    )
+
+
 def compare_splits(
     docs: DataFrame, key: str, seeds: Sequence[int], alphas: Sequence[float], fraction: float,
     min_df: float | int, max_df: float | int,

@@ -11,6 +11,21 @@ def coefficient_table(coefficients: DataFrame, vocabulary: DataFrame) -> DataFra
     return coefficients.join(vocabulary.select("idx", "term"), "idx").select("term", "weight")
 
 
+def weight_vector(weights: DataFrame) -> DataFrame:
+    """One row with all weights in term order: what a linear model holds, one number per kept term."""
+    ordered = F.sort_array(F.collect_list(F.struct("term", "weight")))
+    return weights.agg(ordered.alias("_w")).select(F.col("_w.weight").alias("weights"))
+
+
+def by_position(vectors: DataFrame, column: str, vocabulary: DataFrame) -> DataFrame:
+    """(idx, term, weight) of a weight array and the vocabulary (idx, term): positions are the join key.
+
+    Positions outside of the vocabulary have no term and are left out, as are terms beyond the array.
+    """
+    placed = vectors.select(F.posexplode(column).alias("idx", "weight")).withColumn("idx", F.col("idx").cast("long"))
+    return placed.join(vocabulary.select("idx", "term"), "idx").select("idx", "term", "weight")
+
+
 def linear_score(values: DataFrame, weights: DataFrame, intercept: float, key: str) -> DataFrame:
     """(key, confidence, prediction) of the documents in (key, term, value)."""
     summed = values.join(weights, "term", "left").groupBy(key).agg(

@@ -10,6 +10,7 @@ from docsieve.operators import bayes, curation, evaluation, linear, reconcile
 from docsieve.operators import features as ft
 from docsieve.operators import sampling as sp
 from docsieve.operators.analyzer import Analyzer
+from docsieve.operators.ranking import ordered_index
 from docsieve.plans import mapping as m
 from docsieve.plans.sampling import BALANCE_SEED, FRACTION, SPLIT_SEED, SQL_RARE, sql_split
 from docsieve.plans.text import sql_counts, sql_tokens
@@ -20,9 +21,11 @@ from docsieve.sources.tables import read_table
 WORDS = Analyzer()
 # Fixed values of these queries.
 MIN_DF, MAX_DF, ALPHA, OTHER_ALPHA = 0.01, 0.8, 1.0, 0.1
-SEEDS, ALPHAS = (101, 102, 103), (1.0, 0.1)
+SEEDS, ALPHAS = tuple(range(101, 111)), (1.0, 0.1)
 OLD_SEED, NEW_SEED = 11, 12
 TOP, LISTED, ERRORS = 20, 50, 5
+# Smaller variances make scores that no two engines round alike.
+GAUSS_FLOOR = 1e-3
 BETAS = (1, 2, 3, 4)
 
 
@@ -66,6 +69,32 @@ def nb_bernoulli_predict(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(_scored(spark, folder, binary=True), "score_no", "score_yes", "confidence")
 
 
+def _gaussian(spark: SparkSession, folder: str) -> tuple[DataFrame, bayes.GaussianModel]:
+    docs = _labelled(spark, folder)
+    return docs, bayes.fit_gaussian(_train(docs), MIN_DF, MAX_DF, GAUSS_FLOOR)
+
+
+def nb_gaussian_params(spark: SparkSession, folder: str) -> DataFrame:
+    """Mean and variance of every kept term in each class, absent terms counting as zero."""
+    table = _gaussian(spark, folder)[1].table
+    return _rounded(table, "mean_no", "mean_yes", "var_no", "var_yes")
+
+
+def nb_gaussian_predict(spark: SparkSession, folder: str) -> DataFrame:
+    docs, model = _gaussian(spark, folder)
+    scored = bayes.score_gaussian(model, docs, ["doc_id", "label", "split"])
+    return scored.withColumns({n: F.round(n, 4) for n in ("score_no", "score_yes", "confidence")})
+
+
+def positional_weights(spark: SparkSession, folder: str) -> DataFrame:
+    """Weights as one array in vocabulary order, told apart by position again: (idx, term, weight)."""
+    weights, _ = bayes.linear_weights(_model(_train(_labelled(spark, folder))))
+    vectors = linear.weight_vector(weights)
+    vocabulary = ordered_index(weights.select("term"), "term")
+    joined = linear.by_position(vectors, "weights", vocabulary)
+    return _rounded(joined, "weight")
+
+
 def linear_score(spark: SparkSession, folder: str) -> DataFrame:
     """The model as one weight per term, applied to the counts of every document."""
     docs = _labelled(spark, folder)
@@ -240,7 +269,8 @@ def best_runs(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        nb_multinomial_params, nb_multinomial_predict, nb_bernoulli_predict, linear_score, prediction_rows,
+        nb_multinomial_params, nb_multinomial_predict, nb_bernoulli_predict, nb_gaussian_params, nb_gaussian_predict,
+        positional_weights, linear_score, prediction_rows,
         prediction_rows_long, prediction_tags, confusion_matrix, classification_report, fbeta_table,
         accuracy_by_split, true_negative_rate, error_lists, least_certain, confidence_hist, top_features,
         feature_list_diff, reconcile_predictions, reconcile_metrics, metric_means, best_runs,
@@ -297,6 +327,25 @@ lab AS (
 train_docs AS (SELECT doc_id, label FROM lab WHERE split = 'train'),
 train_cnt AS (SELECT doc_id, label, term, tf FROM cnt WHERE split = 'train')"""
 _MULTI = f"WITH {_LAB}, {sql_bayes('m', 'train_docs', 'train_cnt', ALPHA)}"
+_GAUSS = f"""WITH {_LAB},
+size AS (SELECT count(*) FILTER (label = 0) AS n_no, count(*) FILTER (label = 1) AS n_yes FROM train_docs),
+mom AS (
+  SELECT term, coalesce(sum(tf) FILTER (label = 0), 0)::DOUBLE AS s_no, coalesce(sum(tf) FILTER (label = 1), 0)::DOUBLE AS s_yes,
+         coalesce(sum(tf * tf) FILTER (label = 0), 0)::DOUBLE AS q_no, coalesce(sum(tf * tf) FILTER (label = 1), 0)::DOUBLE AS q_yes
+  FROM train_cnt GROUP BY term
+  HAVING count(*) >= {MIN_DF}::DOUBLE * (SELECT n_no + n_yes FROM size) AND count(*) <= {MAX_DF}::DOUBLE * (SELECT n_no + n_yes FROM size)),
+spread AS (
+  SELECT {GAUSS_FLOOR}::DOUBLE * max((q_no + q_yes) / (n_no + n_yes) - pow((s_no + s_yes) / (n_no + n_yes), 2)) AS floor FROM mom, size),
+par AS (
+  SELECT term, s_no / n_no AS mean_no, s_yes / n_yes AS mean_yes, greatest(q_no / n_no - pow(s_no / n_no, 2), 0) + floor AS var_no,
+         greatest(q_yes / n_yes - pow(s_yes / n_yes, 2), 0) + floor AS var_yes
+  FROM mom, size, spread)"""
+
+
+def _sql_density(x: str, c: str) -> str:
+    return f"(-0.5::DOUBLE * ln(2 * pi() * var_{c}) - pow({x} - mean_{c}, 2) / (2 * var_{c}))"
+
+
 _SCORED = f"""{_MULTI}, {sql_scores('m', 'lab', 'cnt', 'doc_id')},
 pred AS (
   SELECT l.doc_id, l.label, l.split, score_no, score_yes, score_yes - score_no AS confidence,
@@ -490,6 +539,20 @@ SQL = {
     "reconcile_predictions": f"{_RECONCILE} SELECT * FROM report",
     "reconcile_metrics": f"""{_RECONCILE}, conf AS ({_sql_side('old')} UNION ALL {_sql_side('new')})
         SELECT side, tp, fp, tn, fn, round({_P}, 6) AS precision, round({_R}, 6) AS recall FROM conf""",
+    "nb_gaussian_params": f"{_GAUSS} SELECT term, round(mean_no, 6) AS mean_no, round(mean_yes, 6) AS mean_yes, "
+        "round(var_no, 6) AS var_no, round(var_yes, 6) AS var_yes FROM par",
+    "nb_gaussian_predict": f"""{_GAUSS},
+        ps AS (
+          SELECT d.doc_id, d.label, d.split,
+                 any_value((SELECT ln(n_no::DOUBLE / (n_no + n_yes)) FROM size)) + any_value((SELECT sum({_sql_density("0", "no")}) FROM par))
+                 + coalesce(sum({_sql_density("c.tf", "no")} - {_sql_density("0", "no")}), 0) AS score_no,
+                 any_value((SELECT ln(n_yes::DOUBLE / (n_no + n_yes)) FROM size)) + any_value((SELECT sum({_sql_density("0", "yes")}) FROM par))
+                 + coalesce(sum({_sql_density("c.tf", "yes")} - {_sql_density("0", "yes")}), 0) AS score_yes
+          FROM lab d LEFT JOIN cnt c ON c.doc_id = d.doc_id LEFT JOIN par ON par.term = c.term GROUP BY d.doc_id, d.label, d.split)
+        SELECT doc_id, label, split, round(score_no, 4) AS score_no, round(score_yes, 4) AS score_yes,
+               round(score_yes - score_no, 4) AS confidence, CAST(score_yes > score_no AS INTEGER) AS prediction FROM ps""",
+    "positional_weights": f"""{_MULTI}
+        SELECT row_number() OVER (ORDER BY term) - 1 AS idx, term, round(w_yes - w_no, 6) AS weight FROM mw""",
     "metric_means": f"""{_sql_runs()}
         SELECT alpha, count(*) AS n_splits, round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall,
                round(avg(f1), 6) AS f1, round(avg(f4), 6) AS f4 FROM runs GROUP BY alpha""",

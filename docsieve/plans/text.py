@@ -66,8 +66,8 @@ def stemmed_tokens(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stemmed_ngrams(spark: SparkSession, folder: str) -> DataFrame:
-    """Word pairs with only the last word stemmed, counted over the corpus."""
-    pairs = WORDS.with_options(ngrams=(2, 2), stem="last").terms(_text(spark, folder))
+    """Words and word pairs with only the last word stemmed, counted over the corpus."""
+    pairs = WORDS.with_options(ngrams=(1, 2), stem="last").terms(_text(spark, folder))
     return ft.document_frequency(pairs).withColumnRenamed("term", "ngram")
 
 
@@ -297,9 +297,10 @@ SQL = {
         SELECT stem, count(*) AS df, CAST(sum(tf) AS BIGINT) AS total FROM cnt GROUP BY stem""",
     "stemmed_ngrams": f"""
         WITH {_DOCS}, pairs AS (
-          SELECT doc_id, unnest(toks[:-2]) AS head, unnest(toks[2:]) AS word FROM tok WHERE len(toks) > 1),
+          SELECT doc_id, unnest(toks[:-2]) || ' ' AS head, unnest(toks[2:]) AS word FROM tok WHERE len(toks) > 1
+          UNION ALL SELECT doc_id, '', unnest(toks) FROM tok),
         words AS (SELECT DISTINCT word FROM pairs), {sql_stems()},
-        cnt AS (SELECT doc_id, head || ' ' || stem AS ngram, count(*) AS tf FROM pairs JOIN stems USING (word) GROUP BY ALL)
+        cnt AS (SELECT doc_id, head || stem AS ngram, count(*) AS tf FROM pairs JOIN stems USING (word) GROUP BY ALL)
         SELECT ngram, count(*) AS df, CAST(sum(tf) AS BIGINT) AS total FROM cnt GROUP BY ngram""",
     "doc_freq": f"WITH {_PRUNED} SELECT term, df, total FROM kept",
     "doc_freq_by_class": f"""

@@ -1,15 +1,20 @@
 import datetime as dt
 
+import pytest
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from docsieve import jobs
 from docsieve.config import Settings
+from docsieve.operators import models
+from docsieve.operators.features import FeatureSpec
 from docsieve.operators.pipelines import BLESSED, candidate_pipelines
-from docsieve.operators.tuning import expand_grid
+from docsieve.operators.tuning import TextTuning, expand_grid
 from docsieve.sources import corpus, records, sinks
 from docsieve.sources.tables import read_table, register_views
-from docsieve.streaming.scoring import record_stream, score_stream, start_scoring
+from docsieve.streaming.scoring import (
+    COUNTS, LEFT_OUT, SCORED, line_stream, read_accounts, record_stream, score_stream, start_accounting, start_scoring,
+)
 
 
 def lines(spark, *values):
@@ -124,6 +129,64 @@ def test_stream_scores_each_record_once(spark, small, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
 
 
+def test_stream_accounts_for_every_line(spark, tmp_path):
+    """Two deliveries and a batch that runs again: each line is scored or left out once, and the counts add up."""
+    inbox, out = tmp_path / "inbox", str(tmp_path / "out")
+    inbox.mkdir()
+
+    def run(score=lambda batch: batch.select("id", F.length("text").alias("prediction"))):
+        stream = line_stream(spark, str(inbox), Settings(), files_per_batch=1)
+        query = start_accounting(stream, score, out, str(tmp_path / "state"))
+        query.awaitTermination()
+        return query
+
+    (inbox / "a.tsv").write_text("exp ID\tfactors\ttitle\tdescription\nE1\tNone\tmouse\tx\nE1\tNone\tmouse\ty\nE2\tNone\tENCSR1\tx\nbad\tline\n")
+    run()
+    (inbox / "b.tsv").write_text("E1\tNone\tmouse\tx\nE3\tNone\tcell\tculture\n\n")
+
+    def broken(batch):
+        raise RuntimeError("lost")
+
+    with pytest.raises(Exception, match="lost"):
+        run(broken)
+    assert {r["id"] for r in read_accounts(spark, out, SCORED).collect()} == {"E1"}
+    run()
+    run()
+    assert sorted(r["id"] for r in read_accounts(spark, out, SCORED).collect()) == ["E1", "E3"]
+    left = {(r["raw"].split("\t")[0], r["kind"], r["reason"]) for r in read_accounts(spark, out, LEFT_OUT).collect()}
+    assert left == {
+        ("exp ID", "header", "header line"), ("E1", "repeated", "id seen before"), ("E2", "skipped", "Encode experiment E2"),
+        ("bad", "quarantined", "field count 2"), ("", "quarantined", "field count 1"),
+    }
+    counts = read_accounts(spark, out, COUNTS).groupBy("kind").agg(F.sum("n_lines")).collect()
+    assert dict(map(tuple, counts)) == {"kept": 2, "repeated": 2, "header": 1, "skipped": 1, "quarantined": 2}
+
+
+def test_tuning_job_leaves_a_complete_run_once(spark, tmp_path):
+    rows = [(f"Y{i}", "yes", f"embryo {i} mutant tissue") for i in range(14)] + [(f"N{i}", "no", f"culture {i} stem fibroblast") for i in range(14)]
+    corpus.write_corpus(spark.createDataFrame(rows, "id string, class_name string, text string"), str(tmp_path / "corpus"))
+    run = TextTuning(
+        models.Logistic, {"C": [1e-2, 1.0]}, features=FeatureSpec(1, 1.0), seeds={"split": 3, "classifier": 4},
+    )
+    settings = Settings(grid_beta=2.0, compare_beta=2.0, folds=2, test_fraction=0.25, index_table="runs", prediction_prefix="tags")
+    for _ in range(2):
+        result = jobs.tune(spark, str(tmp_path / "corpus"), str(tmp_path), run, settings, "first-1", "s")
+    assert result.run.folds == 2 and len(result.scores) == 2
+    runs = sinks.read_runs(spark, str(tmp_path / "runs")).collect()
+    assert [(r["run_id"], r["label"], r["split_seed"], r["script"]) for r in runs] == [("first-1", "PRF2,F1", 3, "s")]
+    tags = spark.read.parquet(str(tmp_path / "tags-first-1"))
+    assert tags.count() == 28 and tags.filter("split = 'test'").count() == 7
+    text = "\n".join(r["value"] for r in spark.read.text(str(tmp_path / "report-first-1")).collect())
+    for part in ("Start: ", "End: ", "### Confusion matrix", "### Options tried", "C\t0.01, 1.0", "### Pipeline", "### Vocabulary", "middle"):
+        assert part in text
+    loaded = PipelineModel.load(str(tmp_path / "model-first-1"))
+    assert loaded.transform(jobs.labelled_corpus(spark, str(tmp_path / "corpus"))).filter("prediction = label").count() > 20
+    jobs.tune(spark, str(tmp_path / "corpus"), str(tmp_path), run, settings, "second")
+    assert sinks.read_runs(spark, str(tmp_path / "runs")).count() == 2
+    with pytest.raises(ValueError):
+        sinks.record_run(spark, str(tmp_path / "runs"), "a/b", {})
+
+
 def test_prepare_and_predict_jobs(spark, tmp_path):
     head = "exp ID\teval state\tfactors\ttitle\tdescription\n"
     rows = [f"Y{i}\tYes\tage\tembryo {i}\tmutant tissue\n" for i in range(8)]

@@ -67,26 +67,36 @@ def test_invalid_bytes_become_replacement_characters(spark):
     assert df.select(decode_bytes(F.col("b")).alias("x")).first()["x"] == "ok �' end"
 
 
-# A leading blank with glued punctuation, a bare link, a link inside a sentence, glued word forms, and only stop words.
-SENTENCES = [
-    "\tWhich?which of these were dosed; kidney.",
-    "https://data.example.org/run7",
-    "tissue, https://example.org/a?b=1 (liver)",
-    "--dosing;;dosed..doses--dose",
-    "Only these: they were where there",
-]
-
-
-def test_sentences(spark):
-    df = spark.createDataFrame([(i, s) for i, s in enumerate(SENTENCES)], "i int, text string")
-    words = {r["i"]: r["terms"] for r in Analyzer(ngrams=(1, 2)).terms(df).collect()}
-    assert words[0] == ["dosed", "kidney", "dosed kidney"]
-    assert words[4] == []
-    clean = df.withColumn("text", preprocess(F.col("text"), "vectorizer_preprocessor"))
-    words = {r["i"]: r["terms"] for r in Analyzer().terms(clean).collect()}
-    assert words[1] == [] and words[2] == ["tissue", "liver"]
-    stems = df.withColumn("text", preprocess(F.col("text"), "vectorizer_preprocessor_stem"))
-    assert stems.filter("i = 3").first()["text"] == "dose dose dose dose"
+def terms(spark, text, analyzer=None, preprocessor=None):
+    df = spark.createDataFrame([(text,)], "text string")
+    if preprocessor:
+        df = df.withColumn("text", preprocess(F.col("text"), preprocessor))
+    return (analyzer or Analyzer()).terms(df).first()["terms"]
+
+
+def test_pairs_close_over_left_out_words(spark):
+    """Stop words and tokens the rule does not take are gone before pairs are made."""
+    pairs = lambda text: terms(spark, text, Analyzer(ngrams=(2, 2)))
+    assert pairs("light of the moon") == ["light moon"]
+    assert pairs("plate 96 well") == ["plate well"]
+    assert pairs("of moon") == [] and pairs("") == []
+
+
+def test_rules_meet_in_one_text(spark):
+    text = "Naïve cells/gene_7 (3x) were re-plated: CAFÉ"
+    assert terms(spark, text) == ["naive", "cells", "gene_7", "re", "plated", "cafe"]
+    longest = "x" * 5_000
+    assert terms(spark, f"a {longest} b") == [longest]
+
+
+@pytest.mark.parametrize("name, text, want", [
+    ("vectorizer_preprocessor", "as of http://a.test/x?y=z#w nothing", ["nothing"]),
+    ("vectorizer_preprocessor", "http://a.test http://b.test", []),
+    ("vectorizer_preprocessor_stem", "planting, planted and plants", ["plant", "plant", "plant"]),
+    ("vectorizer_preprocessor_stem", "ftp and horses", ["ftp", "hors"]),
+])
+def test_terms_after_a_preprocessor(spark, name, text, want):
+    assert terms(spark, text, preprocessor=name) == want
 
 
 def test_preprocessor_registry(spark):

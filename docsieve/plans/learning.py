@@ -60,7 +60,7 @@ def sgd_score(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def decision_tree_score(spark: SparkSession, folder: str) -> DataFrame:
-    return _score(spark, folder, _run(models.decision_tree, "count", None, False, max_depth=6))
+    return _score(spark, folder, _run(models.decision_tree, "count", None, False, max_depth=30))
 
 
 def kernel_landmark_score(spark: SparkSession, folder: str) -> DataFrame:

@@ -10,13 +10,15 @@ from docsieve.functions import text as tx
 from docsieve.functions.stopwords import ENGLISH
 from docsieve.operators import features as ft
 from docsieve.operators.analyzer import Analyzer
+from docsieve.operators.landmarks import choose_landmarks, kernel_values
 from docsieve.plans import mapping as m
-from docsieve.session import spread
+from docsieve.session import materialize, spread
 from docsieve.sources.tables import read_table
 
 WORDS = Analyzer()
 # Fixed values of these queries: pruning bounds and vocabulary cap.
 MIN_DF, MAX_DF, MAX_FEATURES = 0.01, 0.8, 5000
+LANDMARKS, LANDMARK_SEED, GAMMA = 16, 5, 0.5
 
 
 def _text(spark: SparkSession, folder: str) -> DataFrame:
@@ -120,6 +122,13 @@ def tfidf_l2(spark: SparkSession, folder: str) -> DataFrame:
     return _features(spark, folder, "tfidf", None).withColumn("value", F.round("value", 6))
 
 
+def landmark_kernel(spark: SparkSession, folder: str) -> DataFrame:
+    """Sigmoid kernel of every document with the landmarks it shares a term with."""
+    values = materialize(_features(spark, folder, "tfidf", None).select("doc_id", "term", "value"), "values")
+    landmarks = choose_landmarks(values, "doc_id", LANDMARKS, LANDMARK_SEED)
+    return kernel_values(values, landmarks, "doc_id", GAMMA).withColumn("value", F.round("value", 6))
+
+
 def std_scaled(spark: SparkSession, folder: str) -> DataFrame:
     return _features(spark, folder, "tfidf", "std").withColumn("value", F.round("value", 6))
 
@@ -162,6 +171,7 @@ QUERIES = {
     "term_counts": term_counts,
     "binary_counts": binary_counts,
     "tfidf_l2": tfidf_l2,
+    "landmark_kernel": landmark_kernel,
     "std_scaled": std_scaled,
     "maxabs_scaled": maxabs_scaled,
     "class_weights": class_weights,
@@ -321,6 +331,13 @@ SQL = {
     "term_counts": f"WITH {_PRUNED} SELECT doc_id, idx, term, CAST(tf AS DOUBLE) AS value FROM cnt JOIN vocab USING (term)",
     "binary_counts": f"WITH {_PRUNED} SELECT doc_id, idx, term, 1.0::DOUBLE AS value FROM cnt JOIN vocab USING (term)",
     "tfidf_l2": f"WITH {_WEIGHTED} SELECT doc_id, idx, term, round(value, 6) AS value FROM u",
+    "landmark_kernel": f"""
+        WITH {_WEIGHTED},
+        mark AS (
+          SELECT doc_id AS m, row_number() OVER (ORDER BY doc_id) - 1 AS landmark FROM (
+            SELECT DISTINCT doc_id FROM u ORDER BY md5('{LANDMARK_SEED}|' || doc_id), doc_id LIMIT {LANDMARKS}))
+        SELECT x.doc_id, CAST(landmark AS INTEGER) AS landmark, round(tanh({GAMMA}::DOUBLE * sum(x.value * y.value)), 6) AS value
+        FROM mark JOIN u y ON y.doc_id = m JOIN u x ON x.term = y.term GROUP BY x.doc_id, landmark""",
     "tfidf_hist": f"""
         WITH {_WEIGHTED}
         SELECT CAST(floor(round(value, 6) * 20) AS BIGINT) AS bucket, count(*) AS n_rows FROM u GROUP BY 1""",

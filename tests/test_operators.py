@@ -14,7 +14,8 @@ from pyspark.sql import types as T
 from docsieve.operators import bayes, evaluation, linear, models, ranking, reconcile, sampling, tuning
 from docsieve.operators import features as ft
 from docsieve.operators.analyzer import Analyzer, TextTerms
-from docsieve.operators.landmarks import SigmoidLandmarks
+from docsieve.operators.landmarks import SigmoidLandmarks, SigmoidLandmarksModel
+from docsieve.operators.pipelines import sigmoid_support_vectors
 from docsieve.operators.sgd import AveragedSGD, perceptron
 
 
@@ -459,11 +460,53 @@ def test_weight_vector_model_saves(vectors, tmp_path):
     assert loaded.transform(vectors).select("prediction").collect() == model.transform(vectors).select("prediction").collect()
 
 
-def test_landmarks(vectors):
-    fitted = SigmoidLandmarks("doc_id", 8, gamma=0.5).fit(vectors)
-    row = fitted.transform(vectors).orderBy("doc_id").first()
-    expected = np.tanh(0.5 * fitted.matrix @ row["features"].toArray())
-    assert np.allclose(row["kernel"].toArray(), expected)
+def test_landmarks(vectors, tmp_path):
+    fitted = SigmoidLandmarks("doc_id", 8, gamma=0.5, coef0=0.1).fit(vectors)
+    rows = {r["doc_id"]: r for r in fitted.transform(vectors).collect()}
+    chosen = sorted(r["doc_id"] for r in sampling.random_subset(vectors.select("doc_id"), "doc_id", 8, 0).collect())
+    matrix = np.vstack([rows[i]["features"].toArray() for i in chosen])
+    for row in rows.values():
+        assert np.allclose(row["kernel"].toArray(), np.tanh(0.5 * matrix @ row["features"].toArray() + 0.1))
+    fitted.write().save(str(tmp_path / "landmarks"))
+    loaded = SigmoidLandmarksModel.load(str(tmp_path / "landmarks"))
+    assert loaded.transform(vectors).collect() == fitted.transform(vectors).collect()
+
+
+def test_landmarks_of_dense_and_empty_rows(spark):
+    rows = [(0, Vectors.dense([1.0, 0.0, 2.0])), (1, Vectors.sparse(3, {})), (2, Vectors.sparse(3, {2: 3.0})), (3, Vectors.dense([0.0, 0.0, 0.0]))]
+    df = spark.createDataFrame(rows, ["doc_id", "features"])
+    out = {r["doc_id"]: r["kernel"].toArray() for r in SigmoidLandmarks("doc_id", 4, gamma=0.1).fit(df).transform(df).collect()}
+    x = np.vstack([v.toArray() for _, v in rows])
+    for i in range(4):
+        assert np.allclose(out[i], np.tanh(0.1 * x @ x[i]))
+
+
+def test_sigmoid_pipeline_can_be_saved(spark, corpus, tmp_path):
+    chain = Pipeline(stages=[models.TextFeatures(Analyzer(), ft.FeatureSpec(1, 1.0)), models.ClassBalance(), sigmoid_support_vectors(0.1, landmarks=6)])
+    fitted = chain.fit(corpus)
+    fitted.write().save(str(tmp_path / "sigmoid"))
+    loaded = PipelineModel.load(str(tmp_path / "sigmoid"))
+    columns = ["doc_id", "prediction", "rawPrediction"]
+    assert loaded.transform(corpus).select(*columns).collect() == fitted.transform(corpus).select(*columns).collect()
+
+
+def test_gaussian_moments_count_zeros(spark):
+    rows = [(0, 1, ["a", "a", "b"]), (1, 1, ["a"]), (2, 0, ["b"]), (3, 0, []), (4, 0, ["c", "c", "c"])]
+    docs = spark.createDataFrame(rows, "doc_id long, label int, terms array<string>")
+    model = bayes.fit_gaussian(docs, floor=0.01)
+    x = np.array([[t.count(w) for w in "abc"] for _, _, t in rows], dtype=float)
+    y = np.array([label for _, label, _ in rows])
+    floor = 0.01 * x.var(axis=0).max()
+    got = {r["term"]: r for r in model.table.collect()}
+    want = np.zeros((5, 2))
+    for c, name in ((0, "no"), (1, "yes")):
+        mean, var = x[y == c].mean(axis=0), x[y == c].var(axis=0) + floor
+        assert np.allclose([got[w][f"mean_{name}"] for w in "abc"], mean) and np.allclose([got[w][f"var_{name}"] for w in "abc"], var)
+        want[:, c] = np.log((y == c).mean()) + (-0.5 * np.log(2 * np.pi * var) - (x - mean) ** 2 / (2 * var)).sum(axis=1)
+    scored = {r["doc_id"]: (r["score_no"], r["score_yes"]) for r in bayes.score_gaussian(model, docs, ["doc_id"]).collect()}
+    assert np.allclose([scored[i] for i in range(5)], want)
+    one_class = bayes.fit_gaussian(docs.filter("label = 1"))
+    assert {r["prediction"] for r in bayes.score_gaussian(one_class, docs, ["doc_id"]).collect()} == {1}
 
 
 def test_pipeline_steps_by_name():

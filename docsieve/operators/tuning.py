@@ -26,9 +26,25 @@ from docsieve.session import materialize
 ANALYZER_KEYS = ("accents", "lowercase", "pattern", "stop_words", "ngrams", "stem")
 FEATURE_KEYS = ("min_df", "max_df", "max_features", "weighting", "scaler")
 
+# Steps of a chain by name, and the parameters each of them takes; the classifier takes all others.
+STEPS = {"vectorizer": (*ANALYZER_KEYS, "min_df", "max_df", "max_features", "weighting"), "scaler": ("scaler",), "classifier": None}
+
 Candidate = dict[str, object]
 
 
+def step_parameter(name: str) -> str:
+    """The parameter of a ``step__parameter`` name; a name without a step is its own."""
+    step, mark, parameter = name.partition("__")
+    if not mark:
+        return name
+    if step not in STEPS:
+        raise ValueError(f"no step {step!r} in {name!r}; steps are {', '.join(STEPS)}")
+    own, others = STEPS[step], [k for keys in STEPS.values() if keys for k in keys]
+    if parameter not in own if own is not None else parameter in others:
+        raise ValueError(f"step {step!r} has no parameter {parameter!r}")
+    return parameter
+
+
 def expand_grid(grid: Mapping[str, Sequence] | Sequence[Mapping[str, Sequence]]) -> list[Candidate]:
     """All combinations of a parameter grid; a list of grids gives their union."""
     grids = [grid] if isinstance(grid, Mapping) else grid
@@ -50,7 +66,7 @@ def _ready(vectors: DataFrame) -> DataFrame:
 
 
 def _pick(candidate: Candidate, keys: Sequence[str]) -> Candidate:
-    return {k: v for k, v in candidate.items() if k in keys}
+    return {step_parameter(k): v for k, v in candidate.items() if step_parameter(k) in keys}
 
 
 @dataclass
@@ -66,6 +82,7 @@ class FittedPipeline:
 class TextTuning:
     """Split, grid search with stratified folds, refit on all training rows, evaluate.
 
+    Grid keys are parameters, alone (``min_df``) or with their step (``vectorizer__min_df``, ``classifier__C``).
     ``classifier`` turns the classifier part of a candidate into an estimator on
     ``features``, ``label`` and (when ``balanced``) ``weight``. Candidates that share their
     feature parameters share one fitted and cached feature stage per fold.
@@ -132,7 +149,8 @@ class TextTuning:
         return FeatureSpec(**{**self.features.__dict__, **_pick(candidate, FEATURE_KEYS)})
 
     def _classifier(self, candidate: Candidate) -> Estimator:
-        options = {k: v for k, v in candidate.items() if k not in ANALYZER_KEYS + FEATURE_KEYS}
+        options = {step_parameter(k): v for k, v in candidate.items()}
+        options = {k: v for k, v in options.items() if k not in ANALYZER_KEYS + FEATURE_KEYS}
         # Classifiers that draw random numbers take the run's seed; the others have no such parameter.
         if self._seed is not None and "seed" in signature(self.classifier).parameters:
             options.setdefault("seed", self._seed)

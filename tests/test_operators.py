@@ -301,6 +301,20 @@ def test_tuning_run_reports(spark, corpus):
     assert result.index_row("test", None)["split_seed"] == 1
 
 
+def test_named_steps_drive_a_fit(spark, corpus):
+    """A grid of step__parameter names gives what the bare names give, and its report shows the names that were given."""
+    folded = sampling.stratified_folds(corpus, "doc_id", "label", 3, 1)
+    named = _tuning(models.Logistic, {"vectorizer__min_df": [1, 3], "classifier__C": [1e-2], "scaler__scaler": [None]})
+    bare = _tuning(models.Logistic, {"min_df": [1, 3], "C": [1e-2], "scaler": [None]})
+    assert [m for _, m, _ in named.cross_validate(folded)] == [m for _, m, _ in bare.cross_validate(folded)]
+    assert [c["vectorizer__min_df"] for c, _, _ in named.cross_validate(folded)] == [1, 3]
+    fitted = named.refit(corpus, {"vectorizer__ngrams": (1, 2), "classifier__C": 1.0})
+    assert any(" " in t for t in fitted.vocabulary)
+    for name in ("nobody__C", "vectorizer__C", "classifier__min_df"):
+        with pytest.raises(ValueError):
+            tuning.step_parameter(name)
+
+
 def test_grids():
     assert tuning.expand_grid({"a": [1, 2], "b": [3]}) == [{"a": 1, "b": 3}, {"a": 2, "b": 3}]
     assert len(tuning.expand_grid([{"a": [1, 2]}, {"b": [3]}])) == 3

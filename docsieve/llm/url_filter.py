@@ -6,7 +6,7 @@ it learns what blocked and allowed sites look like and judges the others.
 
 All counts are over all pages: words of the page texts, names, and the class counts of every judged url. Names are
 segmented once each, however many urls hold them; a group holds one name and the dictionary words inside it, bounded by
-the length of the name. Word statistics come back to the names as sums, and urls get the sums of the distinct names they
+the length of the name times the number of different word lengths. Word statistics come back to the names as sums, and urls get the sums of the distinct names they
 hold, so a name that a third of the urls share (a common host) is one row of a small side until the last join, which
 adaptive execution splits.
 
@@ -29,7 +29,6 @@ from docsieve.session import materialize
 # The rules, host and path prefix.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-LONGEST_WORD = 24  # code points of a dictionary word
 
 
 def host_of(url: Column) -> Column:
@@ -57,18 +56,21 @@ def names_in(host: Column, path: Column) -> Column:
 
 
 def word_counts(pages: DataFrame, column: str) -> DataFrame:
-    """How often each word of up to LONGEST_WORD letters is in the page texts; tags, scripts and styles left out."""
+    """How often each word is in the page texts; tags, scripts and styles left out."""
     text = F.regexp_replace(filled(column), r"(?is)<(script|style)\b.*?</\1\s*>|<[^>]*>", " ")
     found = pages.select(F.explode(F.split(F.lower(text), r"[^\p{L}]+")).alias("word"))
-    return found.filter(F.length("word").between(1, LONGEST_WORD)).groupBy("word").agg(F.count("*").alias("n"))
+    return found.filter("word <> ''").groupBy("word").agg(F.count("*").alias("n"))
 
 
-def _best_split(name: str, cost: dict[str, float], unknown: float) -> list[str]:
-    """The words of least total cost; a letter outside the dictionary costs ``unknown``."""
+def _best_split(name: str, cost: dict[str, float], unknown: float, lengths: Sequence[int]) -> list[str]:
+    """The words of least total cost, longer ones first where it is equal; a letter outside the dictionary costs ``unknown``."""
     best, back = np.full(len(name) + 1, np.inf), [0] * (len(name) + 1)
     best[0] = 0.0
     for end in range(1, len(name) + 1):
-        for start in range(max(0, end - LONGEST_WORD), end):
+        for size in lengths:
+            start = end - size
+            if start < 0:
+                continue
             c = cost.get(name[start:end], unknown if end - start == 1 else None)
             if c is not None and best[start] + c < best[end]:
                 best[end], back[end] = best[start] + c, start
@@ -84,12 +86,13 @@ def segment_names(names: DataFrame, counts: DataFrame) -> DataFrame:
 
     A word costs -log of its share; a letter that is no word costs as much as two words of a single count.
     """
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("t")).first()["t"]
-    length = F.char_length("name")
-    pieces = names.select("name", F.explode(F.sequence(F.lit(1), length)).alias("at")).select(
+    found = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("t"), F.collect_set(F.char_length("word")).alias("sizes")).first()
+    # Only lengths that a dictionary word has are looked at, so one very long word costs one more substring a letter.
+    total, lengths = found["t"], sorted({1, *found["sizes"]}, reverse=True)
+    left = F.char_length("name") - F.col("at") + 1
+    pieces = names.select("name", F.explode(F.sequence(F.lit(1), F.char_length("name"))).alias("at")).select(
         "name", F.explode(F.transform(
-            F.sequence(F.lit(1), F.least(F.lit(LONGEST_WORD), length - F.col("at") + 1)),
-            lambda k: F.substring(F.col("name"), F.col("at"), k),
+            F.filter(F.array(*[F.lit(n) for n in lengths]), lambda k: k <= left), lambda k: F.substring(F.col("name"), F.col("at"), k),
         )).alias("word"),
     ).distinct()
     known = pieces.join(counts, "word").select("name", "word", (-F.log(F.col("n") / F.lit(float(max(total, 1))))).alias("cost"))
@@ -97,7 +100,7 @@ def segment_names(names: DataFrame, counts: DataFrame) -> DataFrame:
 
     def split_all(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         cost = {w: c for w, c in zip(rows["word"], rows["cost"], strict=True) if w is not None}
-        return pd.DataFrame({"name": [key[0]], "words": [_best_split(key[0], cost, unknown)]})
+        return pd.DataFrame({"name": [key[0]], "words": [_best_split(key[0], cost, unknown, lengths)]})
 
     each = names.select("name", F.lit(None).cast("string").alias("word"), F.lit(None).cast("double").alias("cost"))
     return each.unionByName(known).groupBy("name").applyInPandas(split_all, "name string, words array<string>")

@@ -1,5 +1,7 @@
 """SimHash, byte-string dedup, top-k search, URL filter, quality and language-model scores against plain Python."""
 
+import collections
+import functools
 import hashlib
 import math
 import random
@@ -232,24 +234,57 @@ def test_url_words_decide(spark):
 
 
 def test_segmentation_is_the_best_one(spark):
-    counts = {"the": 50, "cat": 9, "sat": 8, "thecat": 1, "on": 20, "cats": 2, "at": 15}
+    long = "donaudampfschifffahrtsgesellschaften"
+    counts = {"the": 50, "cat": 9, "sat": 8, "thecat": 1, "on": 20, "cats": 2, "at": 15, long: 3}
     total, unknown = sum(counts.values()), 2 * math.log(sum(counts.values()))
 
     def cost(parts):
         return sum(-math.log(counts[p] / total) if p in counts else unknown if len(p) == 1 else math.inf for p in parts)
 
+    @functools.cache
     def best(name):
         if not name:
             return 0.0
         return min(cost([name[:k]]) + best(name[k:]) for k in range(1, len(name) + 1))
 
-    names = ["thecatsat", "thecatsatonthecats", "zcat", "q", "onat"]
+    names = ["thecatsat", "thecatsatonthecats", "zcat", "q", "onat", f"the{long}cat", long[:-1]]
     table = spark.createDataFrame(list(counts.items()), "word string, n long")
     rows = url_filter.segment_names(spark.createDataFrame([(n,) for n in names], "name string"), table).collect()
     for r in rows:
         assert "".join(r["words"]) == r["name"]
         assert cost(r["words"]) == pytest.approx(best(r["name"]))
     assert len(rows) == len(names)
+    assert next(r["words"] for r in rows if r["name"] == f"the{long}cat") == ["the", long, "cat"]
+
+
+def test_url_verdicts_match_plain_naive_bayes(spark):
+    """Scores and verdicts of all urls from counts in plain Python, given the split of every name."""
+    rng = random.Random(12)
+    texts = ["red blue green apple pear", "apple stone river red", "river river pear blue " + "longword" * 5]
+    host = lambda: "".join(rng.choice(["red", "blue", "apple", "river", "stone", "xq"]) for _ in range(rng.randint(1, 3)))
+    ends = ["net", "org/fr", "com", "example.com/de", "info"]
+    urls = [f"http://{host()}.{rng.choice(ends)}/{host()}/{rng.randrange(50)}".replace(".example", "-x.example") for _ in range(150)] + [None]
+    df = spark.createDataFrame([(i, u, f"<p>{texts[i % 3]}</p>") for i, u in enumerate(urls)], PAGES)
+    rows = url_filter.url_filter(df).orderBy("page_id").collect()
+    counts = collections.Counter(w for i in range(len(urls)) for w in texts[i % 3].split())
+    bags = [[n for n in re.split(r"[^a-z0]+", re.sub(r"[0-9]+", ".0.", f"{r['host']}/{r['path']}".lower())) if n] for r in rows]
+    names = spark.createDataFrame([(n,) for n in {n for b in bags for n in b}], "name string")
+    table = spark.createDataFrame(list(counts.items()), "word string, n long")
+    split = {r["name"]: r["words"] for r in url_filter.segment_names(names, table).collect()}
+    seen = {"block": collections.Counter(), "allow": collections.Counter()}
+    for r, bag in zip(rows, bags, strict=True):
+        if r["rule"]:
+            seen[r["verdict"]].update(w for n in bag for w in split[n])
+    size, total = len({w for words in split.values() for w in words}), {c: sum(k.values()) for c, k in seen.items()}
+    ruled = collections.Counter(r["verdict"] for r in rows if r["rule"])
+    odds = lambda w: math.log((seen["block"][w] + 1) / (total["block"] + size)) - math.log((seen["allow"][w] + 1) / (total["allow"] + size))
+    judged = 0
+    for r, bag in zip(rows, bags, strict=True):
+        if not r["rule"]:
+            want = sum(odds(w) for n in bag for w in split[n]) + math.log((ruled["block"] + 1) / (ruled["allow"] + 1))
+            assert r["score"] == pytest.approx(want, abs=1e-8) and r["verdict"] == ("block" if want > 0 else "allow")
+            judged += 1
+    assert judged > 30 and min(ruled.values()) > 10
 
 
 def labelled(rng, n):

@@ -13,7 +13,8 @@ the same document. All strings are judged on the input; matches never cross docu
    rank of the suffix that follows, until ``length`` bytes are in order. Common prefixes of neighbours in the array give
    the groups of equal strings; all but the first of a group are marked here, so a passage that any number of documents
    share leaves a chunk once. Firsts whose representative others have too are sent to its range with their bytes.
-4. A range builds the same array over what the chunks sent, and marks what starts earlier in another chunk.
+4. A range drops sent segments whose bytes an earlier one has: all strings in them start earlier elsewhere. Over the others
+   that share their representative with one more it builds the same array, and marks what starts earlier in another chunk.
 5. Marks return to their chunk, and texts are cut.
 
 The order stops at ``length`` bytes, so long copies cost no more rounds than short ones. Kasai's carry from one text
@@ -336,7 +337,7 @@ def _search_chunk(texts: pa.Table, shared: pa.Table, length: int, ranges: int) -
             for a, b in _groups(goes):
                 at, size = low[sent[a:b]], high[sent[a:b]] - low[sent[a:b]] + length
                 owner = np.searchsorted(chunk.ends, at, side="right")
-                parts = [chunk.doc[owner], chunk.version[owner], at - chunk.begins[owner], size]
+                parts = [chunk.doc[owner], chunk.version[owner], at - chunk.begins[owner], size, name[sent[a:b]].view(np.int64)]
                 data = zstandard.compress(np.concatenate(parts).astype("<i8").tobytes() + chunk.text[_spread(at, size)].tobytes(), 1)
                 rows.append((int(goes[a]), SENT, number, b - a, 0, data))
     columns = list(zip(*rows, strict=True)) if rows else [()] * 6
@@ -362,34 +363,55 @@ def _compare(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
         heads, bodies, chunks = [], [], []
         for n, chunk, data in zip(sent.column("doc").to_pylist(), sent.column("chunk").to_pylist(), sent.column("data").to_pylist(), strict=True):
             raw = zstandard.decompress(data)
-            heads.append(np.frombuffer(raw, dtype="<i8", count=4 * n).reshape(4, n))
-            bodies.append(np.frombuffer(raw, dtype=np.uint8, offset=32 * n))
+            heads.append(np.frombuffer(raw, dtype="<i8", count=5 * n).reshape(5, n))
+            bodies.append(np.frombuffer(raw, dtype=np.uint8, offset=40 * n))
             chunks.append(np.full(n, chunk))
-        doc, version, at, size = np.concatenate(heads, axis=1)
+        doc, version, at, size, name = np.concatenate(heads, axis=1)
         chunk, text = np.concatenate(chunks), np.concatenate(bodies)
-        many = size - length + 1
+        del heads, bodies, chunks
         begin = np.cumsum(size) - size
-        starts, run = _spread(begin, many), np.repeat(np.arange(len(size)), many)
-        where = at[run] + starts - begin[run]
-        order = np.lexsort((where, version[run], doc[run]))
-        rank = np.empty(len(order), dtype=np.int64)
-        rank[order] = np.arange(len(order))
-        later = later_copies(text, starts, rank, length)
-        chosen = order[later[order]]  # by document and place
-        if len(chosen):
-            d, v, w, c = doc[run[chosen]], version[run[chosen]], where[chosen], chunk[run[chosen]]
-            fresh = np.append(True, (np.diff(d) != 0) | (np.diff(v) != 0) | (np.diff(w) != 1))
-            first = np.flatnonzero(fresh)
-            ends = w[np.append(first[1:], len(w)) - 1] + 1
-            same = np.flatnonzero(np.append(True, (np.diff(d[first]) != 0) | (np.diff(v[first]) != 0)))
-            runs = np.stack([w[first], ends], axis=1)
-            rows = [
-                (int(c[first[a]]), int(d[first[a]]), int(v[first[a]]), _pack(runs[a:b]))
-                for a, b in zip(same, [*same[1:], len(first)], strict=True)
-            ]
+        # Segments of a document are apart, so their order is that of the strings in them.
+        order = np.lexsort((at, version, doc))
+        doc, version, at, size, name, chunk, begin = (x[order] for x in (doc, version, at, size, name, chunk, begin))
+        many = size - length + 1
+        copy = _copies(text, begin, size)
+        flags = np.repeat(copy, many)
+        # Equal strings have one name: a segment that is the only one of its name has been compared in its chunk.
+        _, named, times = np.unique(name[~copy], return_inverse=True, return_counts=True)
+        held = np.zeros(len(copy), dtype=bool)
+        held[~copy] = times[named] > 1
+        if held.any():
+            starts = _spread(np.cumsum(size[held]) - size[held], many[held])
+            text = np.concatenate([text[x : x + n] for x, n in zip(begin[held].tolist(), size[held].tolist(), strict=True)])
+            flags[np.repeat(held, many)] = later_copies(text, starts, starts, length)
+        if flags.any():
+            # Runs of marked starts, cut where a segment ends.
+            edge = np.zeros(len(flags) + 1, dtype=bool)
+            edge[np.append(0, np.cumsum(many))] = True
+            first = np.flatnonzero(flags & (edge[:-1] | ~np.append(False, flags[:-1])))
+            last = np.flatnonzero(flags & (edge[1:] | ~np.append(flags[1:], False)))
+            begins = np.cumsum(many) - many
+            own = np.searchsorted(begins, first, side="right") - 1
+            low = at[own] + first - begins[own]
+            runs = np.stack([low, low + last - first + 1], axis=1)
+            d, v, c = doc[own], version[own], chunk[own]
+            same = np.flatnonzero(np.append(True, (np.diff(d) != 0) | (np.diff(v) != 0)))
+            rows = [(int(c[x]), int(d[x]), int(v[x]), _pack(runs[x:y])) for x, y in zip(same, [*same[1:], len(d)], strict=True)]
             yield out(list(zip(*rows, strict=True)))
 
 
+def _copies(text: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Which segments have the bytes of an earlier one."""
+    data, digests = memoryview(text), bytearray(16 * len(begin))
+    for n, (a, b) in enumerate(zip(begin.tolist(), (begin + size).tolist(), strict=True)):
+        digests[16 * n : 16 * n + 16] = hashlib.blake2b(data[a:b], digest_size=16).digest()
+    low, high = np.frombuffer(digests, dtype="<u8").reshape(-1, 2).T
+    order = np.lexsort((high, low))  # stable: equal ones stay in order
+    found = np.zeros(len(begin), dtype=bool)
+    found[order[1:]] = (low[order[1:]] == low[order[:-1]]) & (high[order[1:]] == high[order[:-1]])
+    return found
+
+
 def removed_spans(runs: np.ndarray, length: int) -> np.ndarray:
     """Maximal removed byte runs (start, end) of a document, from runs of marked string starts."""
     if not len(runs):

@@ -153,18 +153,27 @@ def _reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each chunk of each conversation the states at its ends, and the edits after the conversation's last chunk."""
+    """For each chunk of each conversation the states at its ends, and the edits after the conversation's last chunk.
+
+    Conversations with equally many chunks go together.
+    """
     for batch in batches:
-        for chunks in batch.column("chunks").to_pylist():
-            keys = np.array([c["keys"] for c in chunks]).reshape(-1, 4, 4)
-            cost, order, steps = keys >> 2, keys & 3, np.arange(len(chunks))[None]
-            reach = _ahead(cost, order, steps, np.zeros(1, dtype=int))
-            states = crossings(cost, order, steps, np.zeros(1, dtype=int), (reach + 4 * TAIL_COST).argmin(axis=1))[0]
-            tails = [""] * (len(chunks) - 1) + [TAIL[states[-1]]]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([c["first"] for c in chunks]), pa.array(states[:-1]), pa.array(states[1:]), pa.array(tails)],
-                ["first", "start", "end", "tail"],
-            )
+        chunks = batch.column("chunks")
+        sizes, fields = np.diff(chunks.offsets.to_numpy()), chunks.flatten()
+        every = fields.field("keys").flatten().to_numpy().reshape(-1, 4, 4)
+        first = fields.field("first").to_numpy()
+        begins = np.cumsum(sizes) - sizes
+        for size in np.unique(sizes):
+            places = begins[sizes == size][:, None] + np.arange(size)
+            keys = every[places.ravel()]
+            cost, order, steps = keys >> 2, keys & 3, np.arange(len(keys)).reshape(places.shape)
+            start = np.zeros(len(places), dtype=int)
+            end = (_ahead(cost, order, steps, start) + 4 * TAIL_COST).argmin(axis=1)
+            states = crossings(cost, order, steps, start, end)
+            tails = np.full(places.shape, "", dtype=object)
+            tails[:, -1] = [TAIL[e] for e in end]
+            columns = first[places], states[:, :-1], states[:, 1:], tails
+            yield pa.RecordBatch.from_arrays([pa.array(c.ravel()) for c in columns], ["first", "start", "end", "tail"])
 
 
 def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -39,7 +39,9 @@ def test_same_rows_as_sql(spark, duck, small, name):
     assert _sorted(df.collect(), df.columns) == _sorted(result.fetchall(), columns)
 
 
-@pytest.mark.parametrize("name", ["logistic_score", "sgd_score", "decision_tree_score", "nb_ml_score"])
+@pytest.mark.parametrize("name", [
+    "logistic_score", "linear_svc_score", "sgd_score", "decision_tree_score", "kernel_landmark_score", "nb_ml_score",
+])
 def test_scores_cover_every_labelled_document(spark, small, name):
     df = QUERIES[name](spark, small)
     n = spark.read.parquet(f"{small}/labels.parquet").count()
@@ -47,5 +49,13 @@ def test_scores_cover_every_labelled_document(spark, small, name):
     assert rows and all(r["count"] == n for r in rows)
 
 
+def test_learners_that_report(spark, small):
+    grid = QUERIES["grid_search_report"](spark, small).collect()
+    assert len(grid) == 4 and sum(r["is_best"] for r in grid) == 1
+    assert {r["n_splits"] for r in QUERIES["split_comparison"](spark, small).collect()} == {2}
+    n = spark.read.parquet(f"{small}/documents.parquet").count()
+    assert QUERIES["model_roundtrip"](spark, small).count() == n
+
+
 def test_entry(spark):
     assert entry_module.entry(spark).count() > 0

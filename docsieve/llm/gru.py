@@ -1,9 +1,9 @@
 """A gated recurrent network over word ids with a class-factored softmax, in numpy.
 
 Texts run in lanes, many side by side; a lane holds whole texts one after another and its state starts at zero with each.
-Gradients stop at the border of a window, states do not. Words of the output vocabulary are cut by falling frequency into
-classes of equal size; one more class stands for all other words. Biases start at the log shares of the counts, so an
-untrained network is the unigram model.
+Gradients stop at the border of a window, states do not. Output words are cut in the order of their ids into classes of
+equal size. Biases start at the log shares of the words' weights, so an untrained network is the unigram model. States carry
+a last column of ones, so the last row of the class and word layers is the bias.
 """
 
 from __future__ import annotations
@@ -14,8 +14,10 @@ import numpy as np
 
 HIDDEN = 32
 CLASS_WORDS = 64
-RATE = 0.03  # of the Adagrad steps
-FLOOR = 1e-6  # of the sums of squares
+RATE = 0.1  # of the Adagrad steps
+FLOOR = 1e-8  # of the sums of squares
+NOTHING = -60.0  # log share of places that no word fills
+LARGE = 60  # a logit whose exponential leaves little room for sums
 
 
 @dataclass
@@ -25,47 +27,41 @@ class Network:
     given: np.ndarray
     loop: np.ndarray
     to_class: np.ndarray
-    class_bias: np.ndarray
     to_word: np.ndarray
-    word_bias: np.ndarray
 
-    NAMES = ("given", "loop", "to_class", "class_bias", "to_word", "word_bias")
+    NAMES = ("given", "loop", "to_class", "to_word")
 
     @staticmethod
-    def untrained(weights: np.ndarray, other: float, hidden: int = HIDDEN, seed: int = 1) -> Network:
-        """For words of the given weights, most frequent first, and the weight of all others together."""
+    def untrained(weights: np.ndarray, hidden: int = HIDDEN, seed: int = 1) -> Network:
+        """For words of the given weights."""
         rng = np.random.default_rng(seed)
         size = len(weights)
-        classes = -(-size // CLASS_WORDS)
+        classes = max(1, -(-size // CLASS_WORDS))
         padded = np.zeros(classes * CLASS_WORDS)
         padded[:size] = weights
         by_class = padded.reshape(classes, CLASS_WORDS)
-        mass = np.append(by_class.sum(axis=1), other)
-        with np.errstate(divide="ignore"):
-            word_bias = np.log(by_class / mass[:-1, None]) if classes else np.zeros((0, CLASS_WORDS))
-            class_bias = np.log(mass / mass.sum())
+        mass = by_class.sum(axis=1)
+        to_class = np.zeros((hidden + 1, classes), dtype=np.float32)
+        to_word = np.zeros((classes, hidden + 1, CLASS_WORDS), dtype=np.float32)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            to_class[-1] = np.nan_to_num(np.maximum(np.log(mass / mass.sum()), NOTHING), nan=0)
+            to_word[:, -1] = np.nan_to_num(np.maximum(np.log(by_class / mass[:, None]), NOTHING), nan=0)
         scale = 1 / np.sqrt(hidden)
         return Network(
-            (rng.standard_normal((size + 2, 3 * hidden)) * scale).astype(np.float32),
-            (rng.standard_normal((hidden, 3 * hidden)) * scale).astype(np.float32),
-            np.zeros((hidden, classes + 1), dtype=np.float32), np.maximum(class_bias, -60).astype(np.float32),
-            np.zeros((classes, hidden, CLASS_WORDS), dtype=np.float32), np.maximum(word_bias, -60).astype(np.float32),
+            (rng.standard_normal((size + 1, 3 * hidden)) * scale).astype(np.float32),
+            (rng.standard_normal((hidden, 3 * hidden)) * scale).astype(np.float32), to_class, to_word,
         )
 
     @property
-    def size(self) -> int:
-        return len(self.given) - 2
-
-    @property
-    def other(self) -> int:
-        """The id of every word outside the vocabulary; the next id is the start of a text."""
-        return len(self.given) - 2
+    def start(self) -> int:
+        """The id given at the start of a text, next to those of the words."""
+        return len(self.given) - 1
 
     def flat(self) -> np.ndarray:
         return np.concatenate([getattr(self, n).ravel() for n in self.NAMES]).astype(np.float32)
 
     def like(self, flat: np.ndarray) -> Network:
-        """A network of this shape with the parameters of ``flat``."""
+        """A network of this shape with a copy of the parameters of ``flat``."""
         parts, at = [], 0
         for n in self.NAMES:
             own = getattr(self, n)
@@ -92,8 +88,8 @@ def lanes(texts: list[np.ndarray], width: int, start: int) -> tuple[np.ndarray,
         loads[lane] += len(texts[i])
     steps = int(loads.max(initial=0))
     given = np.full((steps, width), start, dtype=np.int32)
-    wanted = np.full((steps, width), start - 1, dtype=np.int32)
-    owner = np.full((steps, width), -1, dtype=np.int64)
+    wanted = np.zeros((steps, width), dtype=np.int32)
+    owner = np.full((steps, width), -1, dtype=np.int32)
     first = np.zeros((steps, width), dtype=bool)
     for i, lane, at in place:
         ids = texts[i]
@@ -105,70 +101,78 @@ def lanes(texts: list[np.ndarray], width: int, start: int) -> tuple[np.ndarray,
     return given, wanted, owner, first
 
 
-def _forward(net: Network, given: np.ndarray, first: np.ndarray, state: np.ndarray, keep: list | None) -> tuple[np.ndarray, np.ndarray]:
-    """States after each step of a window and the last one; ``keep`` gets what the backward pass needs."""
-    hidden = net.loop.shape[0]
-    states = np.empty((*given.shape, hidden), dtype=net.loop.dtype)
+def _forward(net: Network, given: np.ndarray, first: np.ndarray, state: np.ndarray, keep: bool) -> tuple[np.ndarray, np.ndarray, tuple]:
+    """States after each step of a window, the last one, and, if asked for, what the backward pass needs of each step."""
+    hidden, kind = net.loop.shape[0], net.loop.dtype
+    steps, width = given.shape
+    states = np.empty((steps, width, hidden + 1), dtype=kind)
+    states[..., hidden] = 1
     fresh = first.any(axis=1)
-    for t in range(len(given)):
+    kept = tuple(np.empty((steps, width, n * hidden), dtype=kind) for n in (1, 2, 1, 1)) if keep else ()
+    for t in range(steps):
         if fresh[t]:
-            state = np.where(first[t][:, None], net.loop.dtype.type(0), state)
-        gates, turned = net.given[given[t]], state @ net.loop
+            state = np.where(first[t][:, None], kind.type(0), state)
+        gates, turned = net.given.take(given[t], axis=0), state @ net.loop
         both = gates[:, : 2 * hidden]
         both += turned[:, : 2 * hidden]
         both = _sigmoid(both)
-        z, r = both[:, :hidden], both[:, hidden:]
-        new = r * turned[:, 2 * hidden :]
+        new = both[:, hidden:] * turned[:, 2 * hidden :]
         new += gates[:, 2 * hidden :]
         np.tanh(new, out=new)
-        if keep is not None:
-            keep.append((state, z, r, new, turned[:, 2 * hidden :]))
-        after = states[t]
+        if keep:
+            kept[0][t], kept[1][t], kept[2][t], kept[3][t] = state, both, new, turned[:, 2 * hidden :]
+        after = states[t, :, :hidden]
         np.subtract(state, new, out=after)
-        after *= z
+        after *= both[:, :hidden]
         after += new
         state = after
-    return states, state
+    return states, state, kept
 
 
-def _log_softmax(logits: np.ndarray) -> np.ndarray:
-    """In place."""
-    logits -= logits.max(axis=1, keepdims=True)
-    logits -= np.log(np.exp(logits).sum(axis=1, keepdims=True))
-    return logits
+def _exp_sums(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of the exponentials of each row, which take the place of the logits, and the logs of the sums; large rows are shifted first."""
+    shift = 0
+    if logits.max(initial=0) > LARGE:
+        top = np.maximum(logits.max(axis=1, keepdims=True), 0)
+        logits -= top
+        shift = top[:, 0]
+    np.exp(logits, out=logits)
+    sums = logits @ np.ones(logits.shape[1], dtype=logits.dtype)
+    return sums, np.log(sums) + shift
 
 
-def _class_of(net: Network, wanted: np.ndarray) -> np.ndarray:
-    return np.where(wanted < net.size, wanted // CLASS_WORDS, len(net.to_word))
+def _spans(net: Network, wanted: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
+    """The order of the rows by class, and the classes that occur with their spans."""
+    classes = wanted // CLASS_WORDS
+    order = np.argsort(classes, kind="stable")
+    edges = np.searchsorted(classes[order], np.arange(len(net.to_word) + 1)).tolist()
+    return order, [(c, slice(a, b)) for c, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if a < b]
 
 
-def _word_logits(net: Network, states: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, list[slice], np.ndarray]:
-    """The order of the rows by class (rows of the class of others left out), the span of each class, and the logits inside it."""
-    classes = _class_of(net, wanted)
-    order = np.argsort(classes, kind="stable")
-    edges = np.searchsorted(classes[order], np.arange(len(net.to_word) + 1))
-    order, spans = order[: edges[-1]], [slice(a, b) for a, b in zip(edges, edges[1:], strict=False)]
-    sorted_states, logits = states[order], np.empty((len(order), CLASS_WORDS), dtype=np.float32)
-    for c, span in enumerate(spans):
-        if span.start < span.stop:
-            np.matmul(sorted_states[span], net.to_word[c], out=logits[span])
-            logits[span] += net.word_bias[c]
-    return order, spans, logits
+def _word_logits(net: Network, states: np.ndarray, spans: list[tuple[int, slice]]) -> np.ndarray:
+    """For states sorted by class, the logits of the words of their class."""
+    logits = np.empty((len(states), CLASS_WORDS), dtype=states.dtype)
+    for c, span in spans:
+        np.matmul(states[span], net.to_word[c], out=logits[span])
+    return logits
 
 
 def log_probabilities(net: Network, states: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Natural log probability of each wanted id given its state; the id ``other`` has that of its class."""
-    classes = states @ net.to_class
-    classes += net.class_bias
-    total = _log_softmax(classes)[np.arange(len(wanted)), _class_of(net, wanted)].astype(np.float64)
-    order, _, logits = _word_logits(net, states, wanted)
-    total[order] += _log_softmax(logits)[np.arange(len(order)), wanted[order] % CLASS_WORDS]
+    """Natural log probability of each wanted id given its state."""
+    rows, total = np.arange(len(wanted)), np.empty(len(wanted))
+    logits = states @ net.to_class
+    total[:] = logits[rows, wanted // CLASS_WORDS]
+    total -= _exp_sums(logits)[1]
+    order, spans = _spans(net, wanted)
+    logits = _word_logits(net, states.take(order, axis=0), spans)
+    inside = logits[rows, wanted[order] % CLASS_WORDS].astype(np.float64)
+    total[order] += inside - _exp_sums(logits)[1]
     return total
 
 
-def score(net: Network, texts: list[np.ndarray], width: int = 512, window: int = 64) -> np.ndarray:
+def score(net: Network, texts: list[np.ndarray], width: int = 512, window: int = 32) -> np.ndarray:
     """Natural log probability of each whole text; the state goes on from window to window."""
-    given, wanted, owner, first = lanes(texts, width, net.other + 1)
+    given, wanted, owner, first = lanes(texts, width, net.start)
     total = np.zeros(len(texts))
     state = np.zeros((given.shape[1], net.loop.shape[0]), dtype=np.float32)
     # Lanes end at different steps; those that are through are left out of later windows.
@@ -176,7 +180,7 @@ def score(net: Network, texts: list[np.ndarray], width: int = 512, window: int =
     for at in range(0, len(given), window):
         live = np.flatnonzero(used > at)
         rows = slice(at, at + window)
-        states, last = _forward(net, given[rows][:, live], first[rows][:, live], state[live], None)
+        states, last, _ = _forward(net, given[rows][:, live], first[rows][:, live], state[live], False)
         state[live] = last
         mine = owner[rows][:, live]
         real = mine >= 0
@@ -185,25 +189,53 @@ def score(net: Network, texts: list[np.ndarray], width: int = 512, window: int =
     return total
 
 
+def _softmax_slope(logits: np.ndarray, wanted: np.ndarray, count: int) -> np.ndarray:
+    """The slope of the mean loss by the logits, in their place."""
+    sums = _exp_sums(logits)[0]
+    logits *= (1 / count / sums).astype(logits.dtype)[:, None]
+    logits[np.arange(len(logits)), wanted] -= 1 / count
+    return logits
+
+
 class Trainer:
-    """Adagrad over truncated backpropagation."""
+    """Adagrad over truncated backpropagation; a word's row of inputs or outputs shares one sum of squares."""
+
+    # The axis whose gradients share a sum.
+    SHARED = {"given": 1, "to_word": 1}
+
+    def __init__(self, net: Network, seen: np.ndarray | None = None):
+        """``seen``: the sums of squares that an earlier trainer ended with, as ``sums`` gives them."""
+        self.net, self.seen, at = net, {}, 0
+        for n in Network.NAMES:
+            shape = list(getattr(net, n).shape)
+            if n in self.SHARED:
+                shape[self.SHARED[n]] = 1
+            size = int(np.prod(shape))
+            own = np.full(size, FLOOR, dtype=np.float32) if seen is None else seen[at : at + size].astype(np.float32)
+            self.seen[n], at = own.reshape(shape), at + size
 
-    def __init__(self, net: Network):
-        self.net = net
-        self.seen = {n: np.full(getattr(net, n).shape, FLOOR, dtype=np.float32) for n in Network.NAMES}
+    def sums(self) -> np.ndarray:
+        return np.concatenate([self.seen[n].ravel() for n in Network.NAMES])
 
     def _step(self, name: str, gradient: np.ndarray, rows: np.ndarray | None = None) -> None:
         own, seen = getattr(self.net, name), self.seen[name]
+        square = gradient**2
+        if name in self.SHARED:
+            square = square.mean(axis=self.SHARED[name], keepdims=True)
         if rows is None:
-            seen += gradient**2
-            own -= RATE * gradient / np.sqrt(seen)
+            seen += square
+            own -= gradient * (RATE / np.sqrt(seen))
         else:
-            seen[rows] += gradient**2
-            own[rows] -= RATE * gradient / np.sqrt(seen[rows])
+            now = seen[rows] + square
+            seen[rows] = now
+            gradient *= RATE / np.sqrt(now)
+            own[rows] -= gradient
 
-    def train(self, texts: list[np.ndarray], width: int = 64, window: int = 32) -> None:
+    def train(self, texts: list[np.ndarray], width: int = 256, window: int = 32, piece: int = 1_024) -> None:
+        """One pass over the texts; those of more than ``piece`` words are cut, so that lanes end together."""
         net = self.net
-        given, wanted, owner, first = lanes(texts, width, net.other + 1)
+        texts = [t[at : at + piece] for t in texts for at in range(0, len(t), piece)]
+        given, wanted, owner, first = lanes(texts, width, net.start)
         state = np.zeros((given.shape[1], net.loop.shape[0]), dtype=np.float32)
         for at in range(0, len(given), window):
             rows = slice(at, at + window)
@@ -211,53 +243,51 @@ class Trainer:
 
     def _window(self, given, wanted, real, first, state) -> np.ndarray:
         net, hidden = self.net, self.net.loop.shape[0]
-        kept: list = []
-        states, last = _forward(net, given, first, state, kept)
-        back = np.zeros_like(states)
+        states, last, (before, both, new, turned) = _forward(net, given, first, state, True)
         h, y = states[real], wanted[real]
         count = wanted.size  # also where lanes have ended: fewer words, a smaller step
-        d = np.exp(_log_softmax(h @ net.to_class + net.class_bias))
-        d[np.arange(len(y)), _class_of(net, y)] -= 1
-        d /= count
-        dh = d @ net.to_class.T
-        grad_class, grad_class_bias = h.T @ d, d.sum(axis=0)
-        order, spans, logits = _word_logits(net, h, y)
-        d = np.exp(_log_softmax(logits))
-        d[np.arange(len(order)), y[order] % CLASS_WORDS] -= 1
-        d /= count
-        sorted_h, inner = h[order], np.empty((len(order), hidden), dtype=np.float32)
-        used = np.array([c for c, s in enumerate(spans) if s.start < s.stop], dtype=np.int64)
-        grad_word = np.empty((len(used), hidden, CLASS_WORDS), dtype=np.float32)
-        grad_word_bias = np.empty((len(used), CLASS_WORDS), dtype=np.float32)
-        for n, c in enumerate(used):
-            span = spans[c]
+        d = _softmax_slope(h @ net.to_class, y // CLASS_WORDS, count)
+        dh, grad_class = d @ net.to_class.T, h.T @ d
+        order, spans = _spans(net, y)
+        sorted_h = h.take(order, axis=0)
+        d = _softmax_slope(_word_logits(net, sorted_h, spans), y[order] % CLASS_WORDS, count)
+        inner = np.empty_like(h)
+        used = np.array([c for c, _ in spans], dtype=np.int64)
+        grad_word = np.empty((len(used), hidden + 1, CLASS_WORDS), dtype=h.dtype)
+        for n, (c, span) in enumerate(spans):
             np.matmul(sorted_h[span].T, d[span], out=grad_word[n])
-            grad_word_bias[n] = d[span].sum(axis=0)
             np.matmul(d[span], net.to_word[c].T, out=inner[span])
         dh[order] += inner
-        back[real] = dh
-        grad_gates = np.empty((*given.shape, 3 * hidden), dtype=np.float32)
-        grad_loop = np.zeros_like(net.loop)
-        flow = np.zeros_like(state)
+        back = np.zeros((*given.shape, hidden), dtype=h.dtype)
+        back[real] = dh[:, :hidden]
+        # Slopes of all steps at once; only the flow from step to step is a loop.
+        z, r = both[..., :hidden], both[..., hidden:]
+        by_new = (1 - z) * (1 - new**2)
+        by_z = (before - new) * z * (1 - z)
+        by_r = turned * r * (1 - r)
+        through = np.empty((*given.shape, 3 * hidden), dtype=h.dtype)
+        flow, fresh, turn_back = np.zeros_like(back[0]), first.any(axis=1), np.ascontiguousarray(net.loop.T)
         for t in range(len(given) - 1, -1, -1):
-            before, z, r, new, turned = kept[t]
-            dh = back[t] + flow
-            d_new = dh * (1 - z) * (1 - new**2)
-            d_z = dh * (before - new) * z * (1 - z)
-            d_r = d_new * turned * r * (1 - r)
-            gates = grad_gates[t]
-            gates[:, :hidden], gates[:, hidden : 2 * hidden], gates[:, 2 * hidden :] = d_z, d_r, d_new
-            through = np.concatenate([d_z, d_r, d_new * r], axis=1)
-            grad_loop += before.T @ through
-            flow = dh * z + through @ net.loop.T
-            flow[first[t]] = 0
+            flow += back[t]
+            own = through[t]
+            d_new = own[:, 2 * hidden :]
+            np.multiply(flow, by_new[t], out=d_new)
+            np.multiply(flow, by_z[t], out=own[:, :hidden])
+            np.multiply(d_new, by_r[t], out=own[:, hidden : 2 * hidden])
+            by_new[t] = d_new
+            d_new *= r[t]
+            flow *= z[t]
+            flow += own @ turn_back
+            if fresh[t]:
+                flow[first[t]] = 0
+        grad_loop = before.reshape(-1, hidden).T @ through.reshape(-1, 3 * hidden)
+        through[..., 2 * hidden :] = by_new
         self._step("to_class", grad_class)
-        self._step("class_bias", grad_class_bias)
         self._step("to_word", grad_word, used)
-        self._step("word_bias", grad_word_bias, used)
         self._step("loop", grad_loop)
         ids = given.ravel()
         order = np.argsort(ids, kind="stable")
-        distinct, starts = np.unique(ids[order], return_index=True)
-        self._step("given", np.add.reduceat(grad_gates.reshape(-1, 3 * hidden)[order], starts), distinct)
+        ids = ids[order]
+        starts = np.flatnonzero(np.diff(ids, prepend=-1))
+        self._step("given", np.add.reduceat(through.reshape(-1, 3 * hidden).take(order, axis=0), starts), ids[starts])
         return last

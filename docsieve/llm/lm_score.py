@@ -4,11 +4,16 @@ Counts: every word of every training document (those with crc32 of the id mod 7
 ``KNOWN`` most frequent words go to the tasks as a table of that fixed size; all other words meet their counts in a join,
 where none of them can be hot, as none has more than 1/KNOWN of the tokens.
 
-Network: it knows the ``VOCABULARY`` most frequent words; all others are one class, inside which a word has its add-one
-unigram share, so the model gives every text over known and unknown words a proper probability. It is trained on every
-training document once: in each of ``ROUNDS`` rounds, one for each of ``PART`` parts, every task trains on its own documents
-of that part from the common weights, and the weights are averaged by a tree of tasks. Scoring carries the state from window
-to window over whole documents.
+Network: its words are those with at least one in ``SHARE`` of the training tokens, so they follow the corpus and are fewer
+than SHARE at any size. Every other word, seen or not, is read and predicted as one of ``BUCKETS`` hash classes, inside which
+it has its add-one unigram share; the classes together with the words cover all tokens, so the model gives every text a
+proper probability over known and unknown words.
+
+Training: texts become word ids once. Each training document is dealt by a hash of its id and text to one of ``ROUNDS``
+rounds and, inside it, to a learner; there are as many learners as give each about ``LEARNER`` tokens a round. A learner
+starts from the common weights, trains on its documents in hash order and leaves its change of the weights; the changes
+are averaged by tokens in a tree of tasks. So each training document is learned once, the work grows with the corpus, and
+the model does not depend on files or partitions. Scoring carries the state from window to window over whole documents.
 
 Null or empty text: the end alone. Null ``doc_id``: the empty string's crc, so a training document. Rows with one id and
 one text get one score each. No training document: every word is unknown and the base is 0 for each. Empty table: no rows.
@@ -17,8 +22,10 @@ one text get one score each. No training document: every word is unknown and the
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -30,14 +37,15 @@ from docsieve.llm.text import python_words
 from docsieve.session import materialize
 
 KNOWN = 65_536  # words with counts in every task
-VOCABULARY = 4_096  # words of the network
+SHARE = 32_768  # a word of the network has at least one in so many training tokens
+BUCKETS = 1_024  # hash classes of all other words
 ROUNDS = 8
-PART = 8  # a round trains on one of so many parts of the training documents; as many rounds as parts cover them all
+LEARNER = 400_000  # training tokens of a learner in a round, on average
 END = b" "  # the end token: no word holds a blank
 HELD_OUT = (7, 2)
 COUNTER_WORDS = 300_000  # distinct words a task counts before it hands them on
 CHUNK = 1_000_000  # tokens of the documents a task works on at a time
-FAN_IN = 32  # weights averaged by a task
+FAN_IN = 32  # changes averaged by a task
 
 
 def training(doc_id: str = "doc_id"):
@@ -64,116 +72,157 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Lexicon:
-    """The most frequent words with their counts, and what is common to all words."""
+    """The most frequent words with their counts, the words of the network, and what is common to all words."""
 
-    def __init__(self, top: list[tuple[bytes, int]], tokens: int, distinct: int, vocabulary: int):
+    def __init__(self, top: list[tuple[bytes, int]], tokens: int, distinct: int, share: int, bucket_weights: np.ndarray):
+        """``bucket_weights``: for each hash class, counts plus one of all its words."""
         self.ids = {w: i for i, (w, _) in enumerate(top)}
-        self.log_counts = np.log10(np.array([n for _, n in top] + [0], dtype=np.float64) + 1)
-        self.size = min(vocabulary, len(top))
-        self.tokens, self.distinct = tokens, distinct
-        self.top = [n for _, n in top[: self.size]]
-        # Weight of all words outside the vocabulary, the unknown word included.
-        self.other = tokens + distinct + 1 - sum(n + 1 for n in self.top)
-
-    def read(self, text: str | None) -> tuple[np.ndarray, list[bytes]]:
-        """Ids of the words and the end, -1 for a word outside the table; and those words."""
+        counts = np.array([n for _, n in top] + [0], dtype=np.int64)
+        self.log_counts = np.log10(counts + 1.0)
+        self.tokens, self.distinct, self.buckets = tokens, distinct, len(bucket_weights)
+        self.size = int((counts[:-1] * share >= tokens).sum())
+        # Words of the network leave their hash classes; an unseen word adds its one to each.
+        rest = bucket_weights.astype(np.float64) + 1
+        own = np.array([zlib.crc32(w) % self.buckets for w, _ in top], dtype=np.int64)
+        np.subtract.at(rest, own[: self.size], counts[: self.size] + 1)
+        self.network_ids = np.append(np.where(np.arange(len(top)) < self.size, np.arange(len(top)), self.size + own), -1).astype(np.int32)
+        self.weights = np.append(counts[: self.size] + 1.0, rest)
+        # What a word outside the network adds to the log of its class, its own count apart.
+        self.log_weights = np.append(np.zeros(self.size), np.log10(rest))
+
+    def read(self, text: str | None) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """Places of the words and the end in the table, -1 outside it; ids for the network; and the words outside the table."""
         words = python_words(text)
         words.append(END)
-        ids = np.fromiter((self.ids.get(w, -1) for w in words), dtype=np.int32, count=len(words))
-        return ids, [words[i] for i in np.flatnonzero(ids < 0)]
-
-    def network_ids(self, ids: np.ndarray) -> np.ndarray:
-        return np.where((ids < 0) | (ids >= self.size), self.size, ids)
+        places = np.fromiter(map(self.ids.get, words, repeat(-1)), dtype=np.int32, count=len(words))
+        ids, missing = self.network_ids[places], np.flatnonzero(places < 0)
+        rare = [words[i] for i in missing.tolist()]
+        ids[missing] = [self.size + zlib.crc32(w) % self.buckets for w in rare]
+        return places, ids, rare
 
     def network(self) -> Network:
-        return Network.untrained(np.array(self.top, dtype=np.float64) + 1, float(self.other))
+        return Network.untrained(self.weights)
 
 
-def _train(batches: Iterator[pa.RecordBatch], lexicon: Lexicon, net: Network) -> Iterator[pa.RecordBatch]:
-    trainer, texts, size, total = Trainer(net), [], 0, 0
+IDS = (
+    "doc_id long, version long, held_out boolean, n_tokens long, n_known long, base double, inside double, rare array<binary>, ids binary"
+)
+
+
+def _read(batches: Iterator[pa.RecordBatch], lexicon: Lexicon) -> Iterator[pa.RecordBatch]:
+    """Each text as word ids, with what its counts say: sums of logs of the counts (``base``) and of shares in hash classes (``inside``)."""
     for batch in batches:
+        names = ("n_tokens", "n_known", "base", "inside", "rare", "ids")
+        made: dict[str, list] = {name: [] for name in names}
         for text in batch.column("text"):
-            texts.append(lexicon.network_ids(lexicon.read(text.as_py())[0]))
+            places, ids, rare = lexicon.read(text.as_py())
+            logs, hashed = lexicon.log_counts[places], ids >= lexicon.size
+            row = (
+                len(ids), len(ids) - len(rare), float(logs.sum()), float(logs[hashed].sum() - lexicon.log_weights[ids[hashed]].sum()),
+                rare, ids.tobytes(),
+            )
+            for name, value in zip(names, row, strict=True):
+                made[name].append(value)
+        kept = {c: batch.column(c) for c in ("doc_id", "version", "held_out")}
+        yield pa.RecordBatch.from_pydict(kept | made | {"rare": pa.array(made["rare"], pa.list_(pa.binary()))})
+
+
+CHANGE = "tokens double, change binary, sums binary"
+
+
+def _learn(batches: Iterator[pa.RecordBatch], net: Network, sums: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by learner: the change of the weights that each makes, and its sums of squares."""
+    start, learner, trainer, texts, size, total = net.flat(), None, None, [], 0, 0
+
+    def train() -> None:
+        nonlocal texts, size, total
+        trainer.train(texts)
+        texts, size, total = [], 0, total + size
+
+    def out() -> pa.RecordBatch:
+        train()
+        change = (trainer.net.flat() - start).astype(np.float16)
+        return pa.RecordBatch.from_pydict(
+            {"tokens": [float(total)], "change": [change.tobytes()], "sums": [trainer.sums().astype(np.float32).tobytes()]}
+        )
+
+    for batch in batches:
+        for own, ids in zip(batch.column("learner").to_pylist(), batch.column("ids"), strict=True):
+            if own != learner:
+                if trainer is not None:
+                    yield out()
+                learner, trainer, total = own, Trainer(net.like(start), sums), 0
+            texts.append(np.frombuffer(ids.as_py(), dtype=np.int32))
             size += len(texts[-1])
             if size >= CHUNK:
-                trainer.train(texts)
-                texts, size, total = [], 0, total + size
-    if texts:
-        trainer.train(texts)
-    if total + size:
-        yield pa.RecordBatch.from_pydict({"tokens": [float(total + size)], "weights": [net.flat().tobytes()]})
+                train()
+    if trainer is not None:
+        yield out()
 
 
 def _mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total, mean = 0.0, None
+    total, means = 0.0, [0.0, 0.0]
+    kinds = (np.float16, np.float32)
     for batch in batches:
-        for tokens, weights in zip(batch.column("tokens").to_pylist(), batch.column("weights").to_pylist(), strict=True):
-            own = np.frombuffer(weights, dtype=np.float32)
+        for row in zip(*(batch.column(c) for c in ("tokens", "change", "sums")), strict=True):
+            tokens = row[0].as_py()
             total += tokens
-            mean = own.astype(np.float64) if mean is None else mean + (own - mean) * (tokens / total)
-    if mean is not None:
-        yield pa.RecordBatch.from_pydict({"tokens": [total], "weights": [mean.astype(np.float32).tobytes()]})
-
-
-WEIGHTS = "tokens double, weights binary"
+            for i, kind in enumerate(kinds):
+                own = np.frombuffer(row[i + 1].as_py(), dtype=kind).astype(np.float64)
+                means[i] = means[i] + (own - means[i]) * (tokens / total)
+    if total:
+        change, sums = (m.astype(kind).tobytes() for m, kind in zip(means, kinds, strict=True))
+        yield pa.RecordBatch.from_pydict({"tokens": [total], "change": [change], "sums": [sums]})
 
 
-def average(weights: DataFrame, rows: int) -> np.ndarray | None:
-    """The mean by tokens; each task reads FAN_IN rows, and the driver gets one."""
+def average(changes: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """The mean change and sums of squares by tokens; each task reads FAN_IN rows, and the driver gets one."""
     while rows > 1:
         rows = -(-rows // FAN_IN)
-        weights = materialize(weights.repartition(rows).mapInArrow(_mean, WEIGHTS), "mean")
-        rows = weights.count() if rows > 1 else 1
-    found = weights.first()
-    return None if found is None else np.frombuffer(found["weights"], dtype=np.float32)
+        changes = materialize(changes.coalesce(rows).mapInArrow(_mean, CHANGE), "mean")
+    found = changes.first()
+    return None if found is None else (
+        np.frombuffer(found["change"], dtype=np.float16).astype(np.float32), np.frombuffer(found["sums"], dtype=np.float32)
+    )
 
 
-def train_network(docs: DataFrame, lexicon: Lexicon, rounds: int = ROUNDS, part: int = PART) -> Network:
-    """``docs``: the training documents."""
-    spark, net = docs.sparkSession, lexicon.network()
-    words = spark.sparkContext.broadcast(lexicon)
+def train_network(texts: DataFrame, lexicon: Lexicon, rounds: int = ROUNDS, learner: int = LEARNER) -> Network:
+    """``texts``: ``doc_id``, ``version`` and ``ids`` of the training documents."""
+    sc, net, sums = texts.sparkSession.sparkContext, lexicon.network(), None
+    learners = max(1, round(lexicon.tokens / max(rounds, 1) / learner))
+    place = F.xxhash64("doc_id", "version")
     for r in range(rounds):
-        now = spark.sparkContext.broadcast(net)
-        own = docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(part)) == r).select("text")
-        # Each task trains a copy of the common weights: a broadcast value is shared by the tasks of a worker.
-        made = own.mapInArrow(lambda b, now=now: _train(b, words.value, now.value.like(now.value.flat())), WEIGHTS)
-        made = materialize(made, "weights")
-        mean = average(made, made.count())
-        net = net if mean is None else net.like(mean)
+        now = sc.broadcast((net, sums))
+        dealt = texts.filter(F.pmod(place, F.lit(rounds)) == r).select(
+            F.pmod(F.xxhash64(place, F.lit(r)), F.lit(learners)).cast("int").alias("learner"), place.alias("at"), "ids"
+        )
+        dealt = dealt.repartitionById(learners, F.col("learner")).sortWithinPartitions("learner", "at")
+        changes = materialize(dealt.mapInArrow(lambda b, now=now: _learn(b, *now.value), CHANGE), "changes")
+        mean = average(changes, learners)
+        if mean is not None:
+            net, sums = net.like(net.flat() + mean[0]), mean[1]
     return net
 
 
-SCORES = (
-    "doc_id long, version long, held_out boolean, n_tokens long, n_known long, base double, model double, n_other long, rare array<binary>"
-)
+def _score(batches: Iterator[pa.RecordBatch], net: Network) -> Iterator[pa.RecordBatch]:
+    def out(held: list[pa.RecordBatch], texts: list[np.ndarray]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held).combine_chunks()
+        model = score(net, texts) / math.log(10) + table.column("inside").to_numpy()
+        made = table.drop_columns(["ids", "inside"]).append_column("model", pa.array(model, pa.float64()))
+        return made.to_batches()[0]
 
+    held, texts, size = [], [], 0
+    for batch in batches:
+        own = [np.frombuffer(ids.as_py(), dtype=np.int32) for ids in batch.column("ids")]
+        held, texts, size = [*held, batch], texts + own, size + sum(map(len, own))
+        if size >= CHUNK:
+            yield out(held, texts)
+            held, texts, size = [], [], 0
+    if texts:
+        yield out(held, texts)
 
-def _score(batches: Iterator[pa.RecordBatch], lexicon: Lexicon, net: Network) -> Iterator[pa.RecordBatch]:
-    def out(rows: list) -> pa.RecordBatch:
-        logs = score(net, [r[3] for r in rows]) / math.log(10)
-        columns = {
-            "doc_id": pa.array([r[0][0] for r in rows], pa.int64()), "version": [r[0][1] for r in rows], "held_out": [r[0][2] for r in rows],
-            "n_tokens": [len(r[3]) for r in rows], "n_known": [r[1] for r in rows], "base": [r[2] for r in rows],
-            "model": [float(x + r[5]) for x, r in zip(logs, rows, strict=True)],
-            "n_other": [r[6] for r in rows], "rare": pa.array([r[4] for r in rows], pa.list_(pa.binary())),
-        }
-        return pa.RecordBatch.from_pydict(columns)
 
-    rows, size = [], 0
-    for batch in batches:
-        keys = zip(*(batch.column(c).to_pylist() for c in ("doc_id", "version", "held_out")), strict=True)
-        for key, text in zip(keys, batch.column("text"), strict=True):
-            ids, rare = lexicon.read(text.as_py())
-            logs = lexicon.log_counts[ids]  # id -1 is the last entry, a count of zero
-            mapped = lexicon.network_ids(ids)
-            other = mapped == lexicon.size
-            rows.append((key, int((ids >= 0).sum()), float(logs.sum()), mapped, rare, float(logs[other].sum()), int(other.sum())))
-            size += len(ids)
-            if size >= CHUNK:
-                yield out(rows)
-                rows, size = [], 0
-    if rows:
-        yield out(rows)
+SCORES = "doc_id long, version long, held_out boolean, n_tokens long, n_known long, base double, model double"
 
 
 def most_frequent(counts: DataFrame, known: int) -> list[tuple[bytes, int]]:
@@ -193,29 +242,34 @@ def most_frequent(counts: DataFrame, known: int) -> list[tuple[bytes, int]]:
     return [(bytes(r["word"]), r["n"]) for r in rows]
 
 
-def lm_scores(docs: DataFrame, known: int = KNOWN, vocabulary: int = VOCABULARY, rounds: int = ROUNDS, part: int = PART) -> DataFrame:
+def lm_scores(
+    docs: DataFrame, known: int = KNOWN, share: int = SHARE, buckets: int = BUCKETS, rounds: int = ROUNDS, learner: int = LEARNER
+) -> DataFrame:
     """``doc_id``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score`` (log10 probabilities)."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    learn = own.filter(training())
     counts = materialize(
-        learn.select("text").mapInArrow(_count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "counts"
+        own.filter(training()).select("text").mapInArrow(_count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "counts"
     )
     size = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count("*").alias("distinct")).first()
-    lexicon = Lexicon(most_frequent(counts, known), size["tokens"], size["distinct"], vocabulary)
-    net = train_network(learn, lexicon, rounds, part)
+    weights = np.zeros(buckets, dtype=np.int64)
+    for row in counts.groupBy((F.crc32("word") % buckets).alias("b")).agg(F.sum(F.col("n") + 1).alias("w")).collect():
+        weights[row["b"]] = row["w"]
+    lexicon = Lexicon(most_frequent(counts, known), size["tokens"], size["distinct"], share, weights)
     sc = docs.sparkSession.sparkContext
-    words, trained = sc.broadcast(lexicon), sc.broadcast(net)
+    words = sc.broadcast(lexicon)
     rows = own.select("doc_id", F.xxhash64("text").alias("version"), (~training()).alias("held_out"), "text")
-    scored = materialize(rows.mapInArrow(lambda b: _score(b, words.value, trained.value), SCORES), "scores")
-    rare = scored.dropDuplicates(["doc_id", "version"]).select("doc_id", "version", F.explode("rare").alias("word"))
+    texts = materialize(rows.mapInArrow(lambda b: _read(b, words.value), IDS), "ids")
+    net = sc.broadcast(train_network(texts.filter(~F.col("held_out")), lexicon, rounds, learner))
+    scored = materialize(texts.drop("rare").mapInArrow(lambda b: _score(b, net.value), SCORES), "scores")
+    rare = texts.select("doc_id", "version", "rare").dropDuplicates(["doc_id", "version"]).select("doc_id", "version", F.explode("rare").alias("word"))
     found = rare.join(counts, "word").groupBy("doc_id", "version").agg(
         F.count("*").alias("more_known"), F.sum(F.log10(F.col("n") + 1.0)).alias("more")
     ).select(F.col("doc_id").alias("id"), F.col("version").alias("v"), "more_known", "more")
-    joined = scored.drop("rare").join(found, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("version") == F.col("v")), "left")
+    joined = scored.join(found, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("version") == F.col("v")), "left")
     more = F.coalesce("more", F.lit(0.0))
     return joined.select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
         F.lit(lexicon.tokens).cast("long").alias("train_tokens"),
         (F.col("base") + more - F.col("n_tokens") * math.log10(lexicon.tokens + lexicon.distinct + 1)).alias("base_score"),
-        (F.col("model") + more - F.col("n_other") * math.log10(max(lexicon.other, 1))).alias("score"),
+        (F.col("model") + more).alias("score"),
     )

@@ -17,6 +17,3 @@ def test_every_part_is_learned(documents):
     got = lm_score.lm_scores(df).filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert got[0] > 0.8 * got[1]
 
-
-def test_rounds_cover_all_parts():
-    assert lm_score.ROUNDS == lm_score.PART

@@ -353,15 +353,46 @@ def test_base_scores_match_brute_force(documents, clashing, known):
     rows = [(i, " ".join(rng.choice(["Aa", "b", "c", "d", "e", "f", f"x{i}"]) for _ in range(rng.randint(0, 30)))) for i in range(80)] + ODD
     for df in (documents(rows), clashing):
         own = rows if df is not clashing else ODD
-        got = lm_score.lm_scores(df, known=known, vocabulary=4, rounds=1, part=2).collect()
+        got = lm_score.lm_scores(df, known=known, share=9, buckets=3, rounds=2).collect()
         assert sorted(((*r[:5], round(r["base_score"], 6)) for r in got), key=repr) == slow_base(own)
     assert lm_score.lm_scores(documents([])).count() == 0
 
 
 def test_untrained_network_is_the_base(documents):
     rows = [(i, f"a b c d{i} e{i % 3} " * (i % 5)) for i in range(40)]
-    for r in lm_score.lm_scores(documents(rows), vocabulary=6, rounds=0).collect():
-        assert r["score"] == pytest.approx(r["base_score"], rel=1e-4)
+    df = documents(rows)
+    for known in (3, 1_000):
+        for r in lm_score.lm_scores(df, known=known, share=12, buckets=1, rounds=0).collect():
+            assert r["score"] == pytest.approx(r["base_score"], rel=1e-4)
+
+
+def test_network_covers_unknown_words(documents):
+    """Over all words of the counts and one unseen word of each hash class, the probabilities after a start add to one."""
+    rows = [(i, f"a b c d{i} e{i % 3} " * (i % 5)) for i in range(40)]
+    counts = Counter(w for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2 for w in [*t.encode().split(), lm_score.END])
+    weights = np.zeros(4, dtype=np.int64)
+    for w, n in counts.items():
+        weights[zlib.crc32(w) % 4] += n + 1
+    top = sorted(counts.items(), key=lambda x: (-x[1], x[0]))
+    lexicon = lm_score.Lexicon(top, sum(counts.values()), len(counts), 20, weights)
+    assert lexicon.size == sum(n * 20 >= sum(counts.values()) for n in counts.values()) > 2
+    inside = Counter()
+    for w, n in top:
+        i = int(lexicon.network_ids[lexicon.ids[w]])
+        inside[i] += 1 if i < lexicon.size else (n + 1) / 10 ** lexicon.log_weights[i]
+    for i in range(lexicon.size, lexicon.size + 4):
+        inside[i] += 1 / 10 ** lexicon.log_weights[i]
+    assert all(v == pytest.approx(1) for v in inside.values())
+
+
+def test_scores_do_not_depend_on_files(documents):
+    rng = random.Random(5)
+    df = documents([(i, " ".join(rng.choice("abcdefgh") + "x" * (i % 3) for _ in range(60))) for i in range(120)])
+    by_files = []
+    for n in (1, 4, 32):
+        got = lm_score.lm_scores(df.repartition(n), share=100, buckets=4, rounds=2, learner=500).collect()
+        by_files.append([x for _, x in sorted((r["doc_id"], r["score"]) for r in got)])
+    assert by_files[0] == pytest.approx(by_files[1], rel=1e-4) and by_files[0] == pytest.approx(by_files[2], rel=1e-4)
 
 
 def test_network_learns_order(documents):
@@ -372,19 +403,19 @@ def test_network_learns_order(documents):
     for i in range(300):
         at = rng.randrange(12)
         rows.append((i, " ".join(ring[(at + k) % 12] for k in range(40))))
-    got = lm_score.lm_scores(documents(rows), rounds=3, part=4).filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    got = lm_score.lm_scores(documents(rows), rounds=3).filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert got[0] > 0.8 * got[1]
 
 
 def test_gradients():
     """Backpropagation inside one window against differences."""
     rng = np.random.default_rng(0)
-    net = gru.Network.untrained(rng.integers(1, 50, 70).astype(float), 20.0, hidden=4)
+    net = gru.Network.untrained(rng.integers(1, 50, 70).astype(float), hidden=4)
     for name in gru.Network.NAMES:
         setattr(net, name, getattr(net, name).astype(np.float64))
     net.to_class += rng.standard_normal(net.to_class.shape) * 0.1
-    texts = [rng.integers(0, net.size + 1, n) for n in (5, 9, 7)]
-    args = gru.lanes(texts, 2, net.other + 1)
+    texts = [rng.integers(0, 70, n) for n in (5, 9, 7)]
+    args = gru.lanes(texts, 2, net.start)
     before = net.flat().astype(np.float64)
 
     def loss(flat):
@@ -409,15 +440,17 @@ def test_gradients():
 
 def test_state_is_carried_across_windows():
     rng = np.random.default_rng(0)
-    net = gru.Network.untrained(np.arange(100, 0, -1.0), 5.0)
+    net = gru.Network.untrained(np.arange(100, 0, -1.0))
     net.to_class += rng.standard_normal(net.to_class.shape).astype(np.float32)
-    texts = [rng.integers(0, 101, n) for n in (3, 200, 1, 77, 130)]
+    texts = [rng.integers(0, 100, n) for n in (3, 200, 1, 77, 130)]
     whole = gru.score(net, texts, width=1, window=10_000)
     assert gru.score(net, texts, width=3, window=7) == pytest.approx(whole, rel=1e-5)
 
 
 def test_average_is_weighted(spark):
-    rows = [(float(t), np.full(3, t, dtype=np.float32).tobytes()) for t in range(1, 101)]
-    df = spark.createDataFrame(rows, "tokens double, weights binary")
-    assert lm_score.average(df, 100) == pytest.approx(sum(t * t for t in range(1, 101)) / 5050)
+    rows = [(float(t), np.full(3, t, dtype=np.float16).tobytes(), np.full(2, 2 * t, dtype=np.float32).tobytes()) for t in range(1, 101)]
+    df = spark.createDataFrame(rows, lm_score.CHANGE).repartition(100)
+    change, sums = lm_score.average(df, 100)
+    wanted = sum(t * t for t in range(1, 101)) / 5050
+    assert change == pytest.approx(wanted, rel=2e-3) and sums == pytest.approx(2 * wanted)
     assert lm_score.average(df.limit(0), 0) is None

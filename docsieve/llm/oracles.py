@@ -57,15 +57,15 @@ def _license_scan() -> str:
     return rf"""
 WITH known AS (SELECT {known} AS m),
 cut AS (
-    SELECT doc_id, list_transform(
-        regexp_split_to_array(lower(coalesce(text, '')), '[.!?]+[\x20\x09-\x0D]+|[.!?]+$|[\n\r]+'),
-        lambda s: trim(regexp_replace(s, '[^a-z0-9]+', ' ', 'g'))
-    ) AS sentences FROM documents
+    SELECT doc_id, regexp_split_to_array(replace(lower(coalesce(text, '')), chr(13) || chr(10), chr(10)),
+        '[.!?]+[\x20\x09-\x0D]+|[.!?]+$|:[\x20\x09]*[\n\r]+|[\n\r][^\n\ra-z0-9]*[\n\r]+') AS sentences FROM documents
 ),
 seq AS (
-    SELECT doc_id, coalesce(array_to_string(list_transform(
-        list_filter(sentences, lambda s: map_contains(m, s)), lambda s: m[s]
-    ), ''), '') AS ids FROM cut, known
+    SELECT doc_id, coalesce(array_to_string(list_transform(sentences, lambda s: coalesce(
+        m[trim(regexp_replace(s, '[^a-z0-9]+', ' ', 'g'))],
+        array_to_string(list_transform(regexp_split_to_array(s, '[\n\r]+'),
+            lambda l: m[trim(regexp_replace(l, '[^a-z0-9]+', ' ', 'g'))]), '')
+    )), ''), '') AS ids FROM cut, known
 ),
 {", ".join(steps)},
 named AS (SELECT *, list_filter([{hits}], lambda x: x IS NOT NULL) AS names FROM step{len(licenses.RULES) - 1})

@@ -82,6 +82,67 @@ def test_license_rules(documents, text, found, rest):
     assert (row["licenses"], row["unmatched"]) == (found, rest)
 
 
+# Notices of public licences as files carry them.
+MIT_TEXT = """Copyright (c) 2021 Somebody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."""
+APACHE_TEXT = """/*
+ * Licensed under the Apache License, Version 2.0 (the "License");
+ * you may not use this file except in compliance with the License.
+ * You may obtain a copy of the License at
+ *
+ *     http://www.apache.org/licenses/LICENSE-2.0
+ */"""
+BSD_TEXT = """# Redistribution and use in source and binary forms, with or without
+# modification, are permitted provided that the following conditions are met:
+# 1. Redistributions of source code must retain the above copyright notice,
+#    this list of conditions and the following disclaimer.
+# 2. Redistributions in binary form must reproduce the above copyright
+#    notice, this list of conditions and the following disclaimer in the
+#    documentation and/or other materials provided with the distribution.
+"""
+BSD_LAST = """# 3. Neither the name of the copyright holder nor the names of its
+#    contributors may be used to endorse or promote products derived from
+#    this software without specific prior written permission.
+"""
+GPL_TEXT = """// This program is free software: you can redistribute it and/or modify
+// it under the terms of the GNU General Public License as published by
+// the Free Software Foundation, either version {0} of the License, or
+// (at your option) any later version.
+"""
+
+
+@pytest.mark.parametrize("ends", ["\n", "\r\n"])
+@pytest.mark.parametrize("text,found", [
+    (MIT_TEXT, "MIT"), (APACHE_TEXT, "Apache-2.0"), (BSD_TEXT, "BSD-2-Clause"), (BSD_TEXT + BSD_LAST, "BSD-3-Clause"),
+    (GPL_TEXT.format(2), "GPL-2.0-or-later"), (GPL_TEXT.format(3), "GPL-3.0-or-later"), (f"{APACHE_TEXT}\n\n{MIT_TEXT}", "Apache-2.0,MIT"),
+    ("Some words\nReleased under the MIT License\nmore words", "MIT"), (MIT_TEXT.replace("free of charge", "for a fee").replace("copies or", "copies nor"), ""),
+])
+def test_whole_notices(documents, text, found, ends):
+    assert licenses.license_scan(documents([(1, text.replace("\n", ends))])).first()["licenses"] == found
+
+
+def test_every_rule_is_found_and_no_letter_is_spare(documents):
+    """Each rule's sentences, one a line, give its licence; each letter is in a rule or is only a part of others."""
+    sentence = {letter: text for text, letter in licenses.SENTENCES.items()}
+    df = documents([(i, "\n".join(sentence[x] for x in sequence)) for i, (_, sequence) in enumerate(licenses.RULES)])
+    found = {r["doc_id"]: (r["licenses"], r["unmatched"]) for r in licenses.license_scan(df).collect()}
+    assert found == {i: (name, "") for i, (name, _) in enumerate(licenses.RULES)}
+    assert set(sentence) == set("".join(sequence for _, sequence in licenses.RULES))
+
+
 def test_license_order_matters(documents):
     a, b = "Licensed under the Apache License, Version 2.0.", "You may not use this file except in compliance with the License."
     rows = licenses.license_scan(documents([(1, f"{a}\n{b}"), (2, f"{b}\n{a}")])).orderBy("doc_id").collect()

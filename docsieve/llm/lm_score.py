@@ -23,17 +23,15 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docsieve.llm.gru import Network, Trainer, score
-from docsieve.llm.text import python_words
 from docsieve.session import materialize
 
 KNOWN = 65_536  # words with counts in every task
@@ -43,8 +41,10 @@ ROUNDS = 8
 LEARNER = 400_000  # training tokens of a learner in a round, on average
 END = b" "  # the end token: no word holds a blank
 HELD_OUT = (7, 2)
-COUNTER_WORDS = 300_000  # distinct words a task counts before it hands them on
-CHUNK = 1_000_000  # tokens of the documents a task works on at a time
+COUNTED = 3_000_000  # words a task counts before it hands their counts on
+CHUNK = 1_000_000  # tokens of the documents a learner works on at a time
+SCORED = 4_000_000  # tokens of the documents scored at a time, of which the longest runs on alone
+SLICE = 1 << 24  # bytes of the texts split into words at a time, beyond the first
 FAN_IN = 32  # changes averaged by a task
 
 
@@ -53,22 +53,43 @@ def training(doc_id: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % divisor != rest
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in parts whose texts are about SLICE bytes, or one row."""
+    sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
+    edges = [*np.flatnonzero(np.diff(np.cumsum(sizes, dtype=np.int64) // SLICE, prepend=-1)).tolist(), batch.num_rows]
+    for a, b in zip(edges, edges[1:], strict=False):
+        yield batch.slice(a, b - a)
+
+
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, one after another, and how many each text has: those of ``text.python_words``."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words, lengths = lists.flatten(), pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+    real = pc.not_equal(words, "").to_numpy(zero_copy_only=False)  # blanks at the ends leave empty strings
+    owners = np.repeat(np.arange(len(texts)), lengths)[real]
+    return words.filter(pa.array(real)), np.bincount(owners, minlength=len(texts))
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter = Counter()
+    held, size, ends = [], 0, 0
 
     def out() -> pa.RecordBatch:
-        made = pa.RecordBatch.from_pydict({"word": pa.array(counts.keys(), pa.binary()), "n": pa.array(counts.values(), pa.int64())})
-        counts.clear()
-        return made
+        found = pa.chunked_array(held, pa.string()).value_counts()
+        held.clear()
+        return pa.RecordBatch.from_pydict({"word": found.field("values").cast(pa.binary()), "n": found.field("counts")})
 
     for batch in batches:
-        for text in batch.column("text"):
-            counts.update(python_words(text.as_py()))
-            if len(counts) >= COUNTER_WORDS:
+        for part in _slices(batch):
+            held.append(split_words(part.column("text"))[0])
+            size += len(held[-1])
+            if size >= COUNTED:
                 yield out()
-        counts[END] += batch.num_rows
-    if counts:
+                size = 0
+        ends += batch.num_rows
+    if held:
         yield out()
+    if ends:
+        yield pa.RecordBatch.from_pydict({"word": pa.array([END], pa.binary()), "n": pa.array([ends], pa.int64())})
 
 
 class Lexicon:
@@ -77,6 +98,7 @@ class Lexicon:
     def __init__(self, top: list[tuple[bytes, int]], tokens: int, distinct: int, share: int, bucket_weights: np.ndarray):
         """``bucket_weights``: for each hash class, counts plus one of all its words."""
         self.ids = {w: i for i, (w, _) in enumerate(top)}
+        self.words = pa.array([w for w, _ in top], pa.binary())
         counts = np.array([n for _, n in top] + [0], dtype=np.int64)
         self.log_counts = np.log10(counts + 1.0)
         self.tokens, self.distinct, self.buckets = tokens, distinct, len(bucket_weights)
@@ -90,15 +112,21 @@ class Lexicon:
         # What a word outside the network adds to the log of its class, its own count apart.
         self.log_weights = np.append(np.zeros(self.size), np.log10(rest))
 
-    def read(self, text: str | None) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """Places of the words and the end in the table, -1 outside it; ids for the network; and the words outside the table."""
-        words = python_words(text)
-        words.append(END)
-        places = np.fromiter(map(self.ids.get, words, repeat(-1)), dtype=np.int32, count=len(words))
+    def read(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+        """Of the words and the end of each text: where each text starts; places in the table, -1 outside it; ids for the network; and
+        the words outside the table."""
+        words, lengths = split_words(texts)
+        ends = np.cumsum(lengths + 1) - 1
+        inner = np.ones(len(words) + len(texts), dtype=bool)
+        inner[ends] = False
+        words = pa.concat_arrays([words.cast(pa.binary()), pa.array([END], pa.binary())])
+        at = np.full(len(inner), len(words) - 1)
+        at[inner] = np.arange(len(words) - 1)
+        places = pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy(zero_copy_only=False)[at]
         ids, missing = self.network_ids[places], np.flatnonzero(places < 0)
-        rare = [words[i] for i in missing.tolist()]
-        ids[missing] = [self.size + zlib.crc32(w) % self.buckets for w in rare]
-        return places, ids, rare
+        rare = words.take(pa.array(at[missing]))
+        ids[missing] = [self.size + zlib.crc32(w) % self.buckets for w in rare.to_pylist()]
+        return ends - lengths, places, ids, rare
 
     def network(self) -> Network:
         return Network.untrained(self.weights)
@@ -109,22 +137,28 @@ IDS = (
 )
 
 
+def id_type(words: int) -> type:
+    """What the ids of so many words are kept in: half the bytes where they fit."""
+    return np.uint16 if words <= 1 << 16 else np.int32
+
+
 def _read(batches: Iterator[pa.RecordBatch], lexicon: Lexicon) -> Iterator[pa.RecordBatch]:
     """Each text as word ids, with what its counts say: sums of logs of the counts (``base``) and of shares in hash classes (``inside``)."""
+    kind = id_type(len(lexicon.weights))
     for batch in batches:
-        names = ("n_tokens", "n_known", "base", "inside", "rare", "ids")
-        made: dict[str, list] = {name: [] for name in names}
-        for text in batch.column("text"):
-            places, ids, rare = lexicon.read(text.as_py())
-            logs, hashed = lexicon.log_counts[places], ids >= lexicon.size
-            row = (
-                len(ids), len(ids) - len(rare), float(logs.sum()), float(logs[hashed].sum() - lexicon.log_weights[ids[hashed]].sum()),
-                rare, ids.tobytes(),
-            )
-            for name, value in zip(names, row, strict=True):
-                made[name].append(value)
-        kept = {c: batch.column(c) for c in ("doc_id", "version", "held_out")}
-        yield pa.RecordBatch.from_pydict(kept | made | {"rare": pa.array(made["rare"], pa.list_(pa.binary()))})
+        for part in _slices(batch):
+            starts, places, ids, rare = lexicon.read(part.column("text"))
+            logs, outside = lexicon.log_counts[places], places < 0
+            inside = np.where(ids >= lexicon.size, logs - lexicon.log_weights[ids], 0.0)
+            edges, n_rare = np.append(starts, len(ids)), np.add.reduceat(outside, starts, dtype=np.int64)
+            rows = pa.array((edges * np.dtype(kind).itemsize).astype(np.int64)).buffers()[1]
+            held = {
+                "n_tokens": np.diff(edges), "n_known": np.diff(edges) - n_rare,
+                "base": np.add.reduceat(logs, starts), "inside": np.add.reduceat(inside, starts),
+                "rare": pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n_rare)), pa.int32()), rare),
+                "ids": pa.Array.from_buffers(pa.large_binary(), len(starts), [None, rows, pa.py_buffer(ids.astype(kind))]).cast(pa.binary()),
+            }
+            yield pa.RecordBatch.from_pydict({c: part.column(c) for c in ("doc_id", "version", "held_out")} | held)
 
 
 CHANGE = "tokens double, change binary, sums binary"
@@ -132,7 +166,7 @@ CHANGE = "tokens double, change binary, sums binary"
 
 def _learn(batches: Iterator[pa.RecordBatch], net: Network, sums: np.ndarray | None) -> Iterator[pa.RecordBatch]:
     """Rows sorted by learner: the change of the weights that each makes, and its sums of squares."""
-    start, learner, trainer, texts, size, total = net.flat(), None, None, [], 0, 0
+    start, learner, trainer, texts, size, total, kind = net.flat(), None, None, [], 0, 0, id_type(net.start)
 
     def train() -> None:
         nonlocal texts, size, total
@@ -152,7 +186,7 @@ def _learn(batches: Iterator[pa.RecordBatch], net: Network, sums: np.ndarray | N
                 if trainer is not None:
                     yield out()
                 learner, trainer, total = own, Trainer(net.like(start), sums), 0
-            texts.append(np.frombuffer(ids.as_py(), dtype=np.int32))
+            texts.append(np.frombuffer(ids.as_py(), dtype=kind))
             size += len(texts[-1])
             if size >= CHUNK:
                 train()
@@ -208,14 +242,14 @@ def _score(batches: Iterator[pa.RecordBatch], net: Network) -> Iterator[pa.Recor
     def out(held: list[pa.RecordBatch], texts: list[np.ndarray]) -> pa.RecordBatch:
         table = pa.Table.from_batches(held).combine_chunks()
         model = score(net, texts) / math.log(10) + table.column("inside").to_numpy()
-        made = table.drop_columns(["ids", "inside"]).append_column("model", pa.array(model, pa.float64()))
+        made = table.drop_columns(["inside"]).append_column("model", pa.array(model, pa.float64()))
         return made.to_batches()[0]
 
-    held, texts, size = [], [], 0
+    held, texts, size, kind = [], [], 0, id_type(net.start)
     for batch in batches:
-        own = [np.frombuffer(ids.as_py(), dtype=np.int32) for ids in batch.column("ids")]
-        held, texts, size = [*held, batch], texts + own, size + sum(map(len, own))
-        if size >= CHUNK:
+        own = [np.frombuffer(ids.as_py(), dtype=kind) for ids in batch.column("ids")]
+        held, texts, size = [*held, batch.drop_columns(["ids"])], texts + own, size + sum(map(len, own))
+        if size >= SCORED:
             yield out(held, texts)
             held, texts, size = [], [], 0
     if texts:
